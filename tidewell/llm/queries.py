@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm, packing
+from . import bpe, language, lm, packing
 from .common import table
 from .near_dedup import near_duplicates
 
@@ -32,9 +32,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_file(), end_id=50256)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    network = language.learn(docs.where(~held).select("doc_id", "text", "lang"))
+    return language.identify(docs.select("doc_id", "text", held.alias("held_out")), network).drop("text")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_file())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_near_dedup": op1_near_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_packing": op5_packing, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_near_dedup": op1_near_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_packing": op5_packing, "op8_language": op8_language, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {}

@@ -60,6 +60,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return spans(texts)[3:]
+
+
+def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined lower-cased bytes, start, end and hash of each word in them, and how many words each text has."""
     data = np.frombuffer((b" ".join(texts) + b" ").translate(_LOWER), np.uint8)
     ends_of_text = np.cumsum([len(t) + 1 for t in texts])
     gap = _SEP[data]
@@ -69,7 +74,7 @@ def _block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero(~gap & before)
     end = np.flatnonzero(gap & ~before)
     if not len(start):
-        return np.zeros(0, U64), np.zeros(len(texts), np.int64)
+        return data, start, end, np.zeros(0, U64), np.zeros(len(texts), np.int64)
     pows, inv = _powers(len(data))
     acc = _TABLE[data]
     acc *= pows[: len(data)]
@@ -79,7 +84,7 @@ def _block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if start[0] == 0:
         low[0] = 0
     h = mix((acc[end - 1] - low) * inv[start])
-    return h, np.diff(np.searchsorted(start, ends_of_text), prepend=0)
+    return data, start, end, h, np.diff(np.searchsorted(start, ends_of_text), prepend=0)
 
 
 def shingle_sets(texts: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
