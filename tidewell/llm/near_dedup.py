@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, connected_components, materialize, pieces
-from .shingles import U64, shingle_sets
+from .shingles import U64, mix, shingle_sets
 
 #: Registers of a sketch; the first BANDS * ROWS are banded. A pair of similarity 0.85 shares no band with chance (1 - 0.85**4)**16 < 8e-6.
 REGISTERS, BANDS, ROWS = 128, 16, 4
@@ -29,6 +29,8 @@ BASE, RATE, LIMIT = 1.02, 20.0, 2**15
 SLACK = 12.0
 #: Buckets with more than so many open comparisons go through the overlap bound first.
 DENSE = 4096
+#: Bits of the filter of documents that share a bucket; where it fills up, more sets are written, but none is missed.
+FILTER = 1 << 25
 _FACTORS = np.random.default_rng(71).integers(0, 2**64, REGISTERS, dtype=U64) | U64(1)
 
 
@@ -92,11 +94,41 @@ def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, regs binary")
 
 
-def shingle_table(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(id, set): the sorted 64-bit shingle hashes of each text as bytes."""
+def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each id in a Bloom filter of FILTER bits."""
+    h = mix(ids.astype(np.int64).view(U64))
+    return (h % U64(FILTER)).astype(np.int64), ((h >> U64(32)) * U64(0x9E3779B1) % U64(FILTER)).astype(np.int64)
+
+
+def bloom(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the id of ids: FILTER bits whatever their number, put together by the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(_bits(batch.column("id").to_numpy())))
+            word, first = np.unique(at >> 6, return_index=True)
+            if len(at):
+                yield pa.RecordBatch.from_pydict({"word": word, "bits": np.bitwise_or.reduceat(np.left_shift(U64(1), (at & 63).astype(U64)), first).view(np.int64)})
+
+    rows = ids.select("id").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER >> 6, U64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(U64)
+    return out
+
+
+def shingle_table(docs: DataFrame, ids: DataFrame, k: int = 5) -> DataFrame:
+    """(id, set): the sorted 64-bit shingle hashes, as bytes, of the texts whose doc_id is among the id of ids, and of a few more.
+
+    A Bloom filter picks the texts where they are read, so no text is
+    shuffled; what it picks too much is never asked for.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
+            a, b = _bits(batch.column("doc_id").to_numpy())
+            inside = [(shared.value[x >> 6] >> (x & 63).astype(U64)) & U64(1) for x in (a, b)]
+            batch = batch.filter(pa.array((inside[0] & inside[1]).astype(bool)))
             values, offsets = shingle_sets(bytes_of(batch.column("text")), k)
             yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id"), "set": pa.array([values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())})
 
@@ -171,8 +203,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     stars = rows.join(heads, "key").where(near & (F.col("id") != F.col("a"))).select("a", F.col("id").alias("b")).distinct()
 
     stars = materialize(_likely(_sides(stars, classes, ["n", "regs"]), threshold), "stars")
-    ids = rows.select("id").distinct()
-    sets = materialize(shingle_table(docs.select(F.col("doc_id"), F.col("text")).join(ids.withColumnRenamed("id", "doc_id"), "doc_id"), k), "sets")
+    sets = materialize(shingle_table(docs, rows, k), "sets")
     links = materialize(_confirmed(_sides(stars, sets, ["set"]), percent), "links")
     parts = connected_components(links)
 
