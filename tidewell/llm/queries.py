@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lm, packing
+from . import bpe, decontaminate, language, lm, packing, quality, urls
 from .common import table
 from .near_dedup import near_duplicates
 
@@ -32,6 +32,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_file(), end_id=50256)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -39,9 +47,15 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text", held.alias("held_out")), network).drop("text")
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes are the toxic labels of the documents that carry the page's number."""
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("toxic") == 1).alias("bad"))
+    return urls.judge(table(spark, sf_dir, "pages"), outcomes)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_file())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_near_dedup": op1_near_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_packing": op5_packing, "op8_language": op8_language, "op10_bpe": op10_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_near_dedup": op1_near_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_packing": op5_packing, "op6_decontamination": op6_decontamination, "op7_quality": op7_quality, "op8_language": op8_language, "op9_urls": op9_urls, "op10_bpe": op10_bpe}
+ORACLE_SQL: dict[str, str] = {"op9_urls": urls.SQL}
