@@ -234,9 +234,9 @@ def _dense_pairs(few: DataFrame, other: DataFrame, rows: DataFrame, sets: DataFr
     """Open pairs of crowded buckets.
 
     A row with o shingles that any other row of such buckets has can share o
-    at most, so its partner's size m obeys percent * (n + m) <= (100 +
-    percent) * o.  Rows meet by bucket and size class, so nothing else is
-    compared.
+    at most, so two rows of sizes n and m can only be linked if percent *
+    (n + m) <= (100 + percent) * o for both.  Rows meet by bucket and size
+    class, so nothing else is compared.
     """
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,14 +247,14 @@ def _dense_pairs(few: DataFrame, other: DataFrame, rows: DataFrame, sets: DataFr
 
     flat = sets.join(rows.select("id").distinct(), "id").select("id", "set").mapInArrow(unpack, "id long, s long")
     shared = flat.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
-    own = flat.join(few.select("id").distinct(), "id", "left_semi")
-    overlap = own.join(shared, "s").groupBy("id").agg(F.count("*").alias("o"))
+    overlap = materialize(flat.join(shared, "s").groupBy("id").agg(F.count("*").alias("o")), "overlap")
     fine = 1.02
     size_class = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(fine))).cast("int")
     top = F.least(F.col("n") * 100 / percent, F.col("o") * (100 + percent) / percent - F.col("n")) + 0.5
     low = F.greatest(F.col("n") * percent / 100 - 0.5, F.lit(1.0))
     few = few.select("key", "id", "n", "part").join(overlap, "id").where(top >= low)
     few = few.withColumn("size", F.explode(F.sequence(size_class(low), size_class(top))))
+    other = other.join(overlap.select(F.col("id").alias("b"), F.col("o").alias("o_b")), "b").where(F.col("o_b") * 100 >= percent * F.col("n_b"))
     other = other.withColumn("size", size_class(F.col("n_b")))
-    fits = F.col("o") * (100 + percent) >= percent * (F.col("n") + F.col("n_b"))
+    fits = F.least("o", "o_b") * (100 + percent) >= percent * (F.col("n") + F.col("n_b"))
     return few.join(other, ["key", "size"]).where(open_pair & fits).select("id", "b")

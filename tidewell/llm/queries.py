@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, lm, packing, quality, urls
+from . import bpe, decontaminate, language, lm, packing, pii, quality, urls, warc
 from .common import table
 from .near_dedup import near_duplicates
 
@@ -23,6 +23,14 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(table(spark, sf_dir, "pages"), with_blocks=False).drop("block", "record")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out")))
@@ -57,5 +65,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_file())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_near_dedup": op1_near_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_packing": op5_packing, "op6_decontamination": op6_decontamination, "op7_quality": op7_quality, "op8_language": op8_language, "op9_urls": op9_urls, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_near_dedup": op1_near_dedup, "op2_warc": op2_warc, "op3_pii": op3_pii, "op4_lm_scoring": op4_lm_scoring, "op5_packing": op5_packing, "op6_decontamination": op6_decontamination, "op7_quality": op7_quality, "op8_language": op8_language, "op9_urls": op9_urls, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {"op9_urls": urls.SQL}
