@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from . import text_queries  # noqa: F401
+from .base import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "win_token_budget"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
