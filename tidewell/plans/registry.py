@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import text_queries  # noqa: F401
+from . import consistency_queries, memory_queries, text_queries  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
-FLAGSHIP = "win_token_budget"
+FLAGSHIP = "recall_fused"
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
