@@ -12,6 +12,7 @@ sequence is the encoding of the whole.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -25,9 +26,12 @@ from .common import pieces, texts_of
 
 #: Characters of a chunk or pre-token from which the tree is used, and of its leaves.
 LONG, LEAF = 1024, 256
-#: Chunks that a worker remembers; beyond that it starts anew.
-REMEMBERED = 500_000
-_DOUBTFUL = re.compile(r"\s\s|^\s|\s\Z")
+#: Chunks and pre-tokens that a worker remembers; beyond that it starts anew.
+REMEMBERED = 800_000
+#: Chunks whose pre-tokens the pattern below finds as the library does: no character beyond Latin and no odd white space.
+_PLAIN = re.compile("[\t\n\r -~\u00a1-\u024f]*").fullmatch
+_L, _N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ \t\n\r{_L}{_N}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -37,6 +41,34 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Store:
+    """Rows of ids of any length, one after the other."""
+
+    def __init__(self) -> None:
+        self.flat, self.starts, self.rows = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
+
+    def append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        used = self.starts[self.rows]
+        while len(self.flat) < used + len(ids):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while len(self.starts) < self.rows + len(sizes) + 1:
+            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+        self.flat[used : used + len(ids)] = ids
+        self.starts[self.rows + 1 : self.rows + 1 + len(sizes)] = used + np.cumsum(sizes)
+        self.rows += len(sizes)
+
+    def add(self, rows: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.append(np.fromiter(chain.from_iterable(rows), np.uint32, int(sizes.sum())), sizes)
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the rows at, joined, and where each ends in them."""
+        starts = self.starts[at]
+        sizes = self.starts[at + 1] - starts
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class Codec:
     """Encoder and decoder of a byte-level BPE file of the tokenizers library."""
 
@@ -55,34 +87,39 @@ class Codec:
         self.tokens = [self.full.id_to_token(i) or "" for i in range(size)]
         alphabet = _byte_alphabet()
         self.bytes = [t.encode() if i in added or any(c not in alphabet for c in t) else bytes(map(alphabet.__getitem__, t)) for i, t in enumerate(self.tokens)]
+        self.words: dict[str | tuple[str], int] = {}
+        self.of_words = Store()
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
-
-    def _learn(self, keys: list[str]) -> None:
-        """Encode chunks that aren't known yet; a key is the chunk without its leading space, or " " and the chunk if it has none."""
-        texts = [k[1:] if k[0] == " " else " " + k for k in keys]
-        short = [t for t in texts if len(t) < LONG]
-        found = dict(zip(short, (e.ids for e in self.full.encode_batch_fast(short, add_special_tokens=False)), strict=True))
-        ids = [found[t] if len(t) < LONG else self.encode_long(t) for t in texts]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        need, count = self.used + int(sizes.sum()), len(self.known)
-        while len(self.flat) < need:
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while len(self.starts) < count + len(ids) + 1:
-            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
-        self.flat[self.used : need] = np.fromiter(chain.from_iterable(ids), np.uint32, need - self.used)
-        self.starts[count + 1 : count + 1 + len(ids)] = self.used + np.cumsum(sizes)
-        self.used = need
-        self.known.update(zip(keys, range(count, count + len(ids)), strict=True))
-
-    def split(self, text: str) -> list[str]:
-        """Chunks whose encodings make up that of the text; all but the first had a space before them."""
-        parts = text.split(" ")
-        if not _DOUBTFUL.search(text):
-            return parts
+        self.known: dict[str | tuple[str, bool], int] = {}
+        self.of_known = Store()
+        if len(self.words) > REMEMBERED:
+            self.words, self.of_words = {}, Store()
+
+    def _learn(self, keys: list[str | tuple[str, bool]]) -> None:
+        """Encode chunks that aren't known yet: plain short ones by their pre-tokens, each of which is encoded once.
+
+        A key is the chunk without its leading space, or " " and the chunk that
+        starts a text, or, if the chunk ends in white space, the chunk and
+        whether it starts a text.
+        """
+        texts = [(k[0] if k[1] else " " + k[0]) if isinstance(k, tuple) else k[1:] if k[0] == " " else " " + k for k in keys]
+        special = self.at_special.search if self.at_special else lambda t: None
+        parts = [_PRETOKEN.findall(t) if len(t) < LONG and _PLAIN(t) and not special(t) else [(t,)] for t in texts]
+        flat = [*chain.from_iterable(parts)]
+        new = list(set(flat).difference(self.words))
+        short = [w for w in new if isinstance(w, str)]
+        found = [e.ids for e in self.full.encode_batch_fast(short, add_special_tokens=False)]
+        other = [w for w in new if not isinstance(w, str)]
+        self.words.update(zip([*short, *other], range(len(self.words), len(self.words) + len(new)), strict=True))
+        self.of_words.add([*found, *(self.encode_long(w[0]) for w in other)])
+        ids, ends = self.of_words.take(np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat)))
+        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
+        self.of_known.append(ids, np.diff(np.concatenate(([0], ends))[np.cumsum([0, *map(len, parts)])]))
+
+    def split(self, parts: list[str]) -> list[str | tuple[str, bool]]:
+        """Keys of a text's chunks, from its parts between spaces: parts next to more white space stay together."""
         out = [parts[0]]
         for p in parts[1:]:
             last = out[-1]
@@ -90,29 +127,42 @@ class Codec:
                 out.append(p)
             else:
                 out[-1] = f"{last} {p}"
-        return out
+        return [(c, i == 0) if c and c[-1].isspace() else " " + c if i == 0 else c for i, c in enumerate(out)]
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, uint32, and offsets: text i has ids[off[i]:off[i+1]]."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_batch(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not self.chunked:
             ids = [e.ids for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(ids), np.uint32), np.cumsum([0, *map(len, ids)])
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or len(self.words) > REMEMBERED:
             self._forget()
-        keys: list[str] = []
-        count = [0]
-        for t in texts:
-            parts = self.split(t)
-            parts[0] = " " + parts[0]
-            keys += parts
-            count.append(len(keys))
-        if unknown := list(set(keys).difference(self.known)):
-            self._learn(unknown)
+        split = [t.split(" ") for t in texts]
+        firsts = [p[0] for p in split]
+        for p in split:
+            p[0] = " " + p[0]
+        keys = [*chain.from_iterable(split)]
+        unknown = set(keys).difference(self.known)
+        bad = {k for k in unknown if k != " " and (not k or k[-1].isspace() or k[0].isspace() and k[0] != " ")}
+        if bad or " " in keys:
+            for i, p in enumerate(split):
+                if not bad.isdisjoint(p) or p[0] == " " and len(p) > 1:
+                    split[i] = self.split([firsts[i], *p[1:]])
+            keys = [*chain.from_iterable(split)]
+            unknown = set(keys).difference(self.known)
+        if unknown:
+            self._learn(list(unknown))
         at = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
-        starts, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.concatenate(([0], ends))[count]
+        ids, ends = self.of_known.take(at)
+        return ids, np.concatenate(([0], ends))[np.cumsum([0, *map(len, split)])]
 
     def encode_long(self, text: str) -> list[int]:
         """Ids of a text of any length: special tokens first, then each pre-token, long ones by the tree."""

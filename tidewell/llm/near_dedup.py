@@ -27,8 +27,8 @@ REGISTERS, BANDS, ROWS = 128, 16, 4
 BASE, RATE, LIMIT = 1.02, 20.0, 2**15
 #: A pair is excluded where its likelihood at the threshold is exp(-SLACK) times the largest or less: about 5 standard deviations.
 SLACK = 12.0
-#: Buckets with more than so many open comparisons go through the overlap bound first.
-DENSE = 4096
+#: Buckets with more than so many open comparisons go through the overlap bound first, and rows that have a rare shingle there.
+DENSE, RARE = 64, 8
 #: Bits of the filter of documents that share a bucket; where it fills up, more sets are written, but none is missed.
 FILTER = 1 << 25
 _FACTORS = np.random.default_rng(71).integers(0, 2**64, REGISTERS, dtype=U64) | U64(1)
@@ -233,10 +233,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
 def _dense_pairs(few: DataFrame, other: DataFrame, rows: DataFrame, sets: DataFrame, percent: int, open_pair) -> DataFrame:
     """Open pairs of crowded buckets.
 
-    A row with o shingles that any other row of such buckets has can share o
-    at most, so two rows of sizes n and m can only be linked if percent *
-    (n + m) <= (100 + percent) * o for both.  Rows meet by bucket and size
-    class, so nothing else is compared.
+    Shingles are rare if RARE rows of crowded buckets or fewer have them.  Two
+    rows without a common rare shingle share at most the smaller of their
+    numbers o of frequent ones, so they can only be linked if percent * (n + m)
+    <= (100 + percent) * o for both; they meet by bucket and size class, which
+    that bound limits.  Rows with common rare shingles meet by those, and are
+    compared if o and the number of common rare ones together reach the bound.
     """
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +248,13 @@ def _dense_pairs(few: DataFrame, other: DataFrame, rows: DataFrame, sets: DataFr
                 yield pa.RecordBatch.from_pydict({"id": np.repeat(ids, [len(x) // 8 for x in packed]), "s": np.frombuffer(b"".join(packed), np.int64)})
 
     flat = sets.join(rows.select("id").distinct(), "id").select("id", "set").mapInArrow(unpack, "id long, s long")
-    shared = flat.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
-    overlap = materialize(flat.join(shared, "s").groupBy("id").agg(F.count("*").alias("o")), "overlap")
+    shared = materialize(flat.join(flat.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "s"), "shared")
+    overlap = materialize(shared.groupBy("id").agg(F.sum((F.col("c") > RARE).cast("int")).alias("o")), "overlap")
+    owners = F.array_sort(F.collect_list("id"))
+    common = shared.where(F.col("c") <= RARE).groupBy("s").agg(owners.alias("ids")).select(F.explode("ids").alias("id"), "ids").select("id", F.explode("ids").alias("b")).where("id < b").groupBy("id", "b").agg(F.count("*").alias("rare"))
+    about = rows.select("id", "n", "part").distinct().join(overlap, "id")
+    common = common.join(about, "id").join(about.select(*[F.col(c).alias(d) for c, d in (("id", "b"), ("n", "n_b"), ("part", "part_b"), ("o", "o_b"))]), "b")
+    met = common.where(open_pair & ((F.least("o", "o_b") + F.col("rare")) * (100 + percent) >= percent * (F.col("n") + F.col("n_b")))).select("id", "b")
     fine = 1.02
     size_class = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(fine))).cast("int")
     top = F.least(F.col("n") * 100 / percent, F.col("o") * (100 + percent) / percent - F.col("n")) + 0.5
@@ -257,4 +264,4 @@ def _dense_pairs(few: DataFrame, other: DataFrame, rows: DataFrame, sets: DataFr
     other = other.join(overlap.select(F.col("id").alias("b"), F.col("o").alias("o_b")), "b").where(F.col("o_b") * 100 >= percent * F.col("n_b"))
     other = other.withColumn("size", size_class(F.col("n_b")))
     fits = F.least("o", "o_b") * (100 + percent) >= percent * (F.col("n") + F.col("n_b"))
-    return few.join(other, ["key", "size"]).where(open_pair & fits).select("id", "b")
+    return few.join(other, ["key", "size"]).where(open_pair & fits).select("id", "b").union(met)
