@@ -223,7 +223,8 @@ def viterbi(scores: list[np.ndarray], pairs: np.ndarray) -> list[np.ndarray]:
     move = pairs + ALLOWED
     for at in range(0, len(order), 512):
         some = order[at : at + 512]
-        longest = len(scores[some[-1]])
+        length = np.array([len(scores[i]) for i in some])
+        longest = int(length[-1])
         grid = np.zeros((len(some), longest, len(LABELS)))
         grid[:, :, 1:] = -np.inf
         for row, i in zip(grid, some, strict=True):
@@ -231,9 +232,9 @@ def viterbi(scores: list[np.ndarray], pairs: np.ndarray) -> list[np.ndarray]:
         best = grid[:, 0] + np.where([x[0] == "I" for x in LABELS], -np.inf, 0)
         back = np.zeros((longest, len(some), len(LABELS)), np.int8)
         for t in range(1, longest):
-            way = best[:, :, None] + move
-            back[t] = way.argmax(1)
-            best = way.max(1) + grid[:, t]
+            way, live = best[:, :, None] + move, (length > t)[:, None]
+            back[t] = np.where(live, way.argmax(1), np.arange(len(LABELS)))
+            best = np.where(live, way.max(1) + grid[:, t], best)
         label = best.argmax(1)
         path = np.zeros((len(some), longest), np.int64)
         for t in range(longest - 1, -1, -1):
