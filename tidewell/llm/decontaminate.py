@@ -150,6 +150,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that overlap with an item; all columns stay. Null doc_ids stay."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
+    """The rows of docs that overlap with no item; all columns stay, no row is shuffled, and null texts stay."""
+    for block in _blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, "text"):
+                stays = np.ones(batch.num_rows, bool)
+                stays[[row[0] for row in overlaps(shared.value, *word_hashes(bytes_of(batch.column("text"))))]] = False
+                if stays.any():
+                    yield batch.filter(pa.array(stays))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -11,6 +11,7 @@ exclude the threshold, and is then confirmed on its full shingle sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import bytes_of, connected_components, materialize, pieces
 from .shingles import U64, mix, shingle_sets
 
-#: Registers of a sketch; the first BANDS * ROWS are banded. A pair of similarity 0.85 shares no band with chance (1 - 0.85**4)**16 < 8e-6.
-REGISTERS, BANDS, ROWS = 128, 16, 4
+#: Registers of a sketch, registers of a band, and the chance with which a pair just at the threshold may share no band.
+REGISTERS, ROWS, MISSED = 128, 4, 1e-5
 #: Base, rate and largest exponent of the registers.
 BASE, RATE, LIMIT = 1.02, 20.0, 2**15
 #: A pair is excluded where its likelihood at the threshold is exp(-SLACK) times the largest or less: about 5 standard deviations.
@@ -47,6 +48,16 @@ def registers(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def bands_for(threshold: float) -> int:
+    """So many bands that a pair at the threshold shares none with a chance below MISSED: 16 for 0.85, 22 for 0.8."""
+    if threshold >= 1:
+        return 1
+    bands = math.ceil(math.log(MISSED) / math.log1p(-(threshold**ROWS)))
+    if bands * ROWS > REGISTERS:
+        raise ValueError(f"a similarity of {threshold} needs {bands} bands of {ROWS} registers; a sketch has {REGISTERS}")
+    return bands
+
+
 def merge(*sketches: np.ndarray) -> np.ndarray:
     """Registers of the union of the sets."""
     return np.maximum.reduce(sketches)
@@ -132,7 +143,7 @@ def shingle_table(docs: DataFrame, ids: DataFrame, k: int = 5) -> DataFrame:
             values, offsets = shingle_sets(bytes_of(batch.column("text")), k)
             yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id"), "set": pa.array([values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, set binary")
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, "id long, set binary")
 
 
 def _likely(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -174,12 +185,14 @@ def _sides(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
-    docs: doc_id (long, unique), text, more columns.  Documents are linked
+    docs: doc_id (long), text, more columns.  Documents are linked
     when ``100 * |intersection| >= percent * |union|`` of their distinct
     k-word shingles; component_id is the smallest doc_id reachable.  Null or
     empty texts and texts without words have n_shingles 0 and no links; equal
     texts (ties) are one component under their smallest doc_id; an empty table
     gives an empty result; other columns are ignored, whatever their names.
+    Repeated rows of a doc_id are one document and give equal rows; a row
+    without doc_id links with nothing, has a null component and is kept.
 
     Equal sets are folded first.  In each bucket of each band the document
     with the most bucket mates is compared with every other one; then members
@@ -189,10 +202,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     """
     threshold = percent / 100
     sketched = materialize(sketches(docs, k), "sketches")
-    classes = sketched.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs"))
+    classes = sketched.where("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs"))
     classes = materialize(classes.select("id", "n", "digest", "regs"), "classes")
     step = 2 * ROWS
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + step * i, step)) for i in range(BANDS)]))
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + step * i, step)) for i in range(bands_for(threshold))]))
     rows = classes.select("id", "n", keys.alias("key"))
     crowd = rows.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     rows = materialize(rows.join(crowd, "key"), "rows")
@@ -226,8 +239,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
 
     classed = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").select("digest", F.col("n").alias("m"), F.coalesce("component", "id").alias("component"))
     joined = sketched.select("doc_id", "n", "digest").join(classed, (sketched.digest == classed.digest) & (sketched.n == F.col("m")), "left")
-    component = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def representatives(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
+    """docs without the documents whose component has a smaller doc_id; all columns stay, and all rows of a doc_id stay or go together."""
+    verdicts = near_duplicates(docs, percent, k).where(F.col("doc_id").isNotNull())
+    gone = verdicts.groupBy(F.col("doc_id").alias("__gone")).agg(F.max("kept").alias("__kept")).where(~F.col("__kept")).select("__gone")
+    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
 def _dense_pairs(few: DataFrame, other: DataFrame, rows: DataFrame, sets: DataFrame, percent: int, open_pair) -> DataFrame:

@@ -79,7 +79,7 @@ def features(docs: DataFrame) -> DataFrame:
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"), covered.cast("long").alias("n_repeat_words"),
         F.array(length("__t") - length("__s1"), length("__s2") - length("__s3"), letters, length("__s4") - length("__s5"), length("__s3") - length("__s4"), length("__s5") - letters).alias("classes"), counted.alias("common"),
     )
-    return base.withColumn("__f", found).select(*docs.columns, "__f")
+    return base.select(*docs.columns, F.explode(F.array(found)).alias("__f"))  # a Generate, past which no filter on the results copies these expressions
 
 
 def divergences(classes: Column, common: Column, n_words: Column, reference: Reference) -> tuple[Column, Column]:
