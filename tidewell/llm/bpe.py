@@ -27,9 +27,7 @@ from .common import pieces, texts_of
 #: Characters of a chunk or pre-token from which the tree is used, and of its leaves.
 LONG, LEAF = 1024, 256
 #: Chunks and pre-tokens that a worker remembers; beyond that it starts anew. Pre-tokens that the library encodes at once, as each result is a large object.
-REMEMBERED, AT_ONCE = 400_000, 8192
-#: Bytes of text that a worker encodes at once.
-PIECE_BYTES = 1 << 20
+REMEMBERED, AT_ONCE = 300_000, 8192
 #: Chunks whose pre-tokens the pattern below finds as the library does: no character beyond Latin and no odd white space.
 _PLAIN = re.compile("[\t\n\r -~\u00a1-\u024f]*").fullmatch
 _L, _N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
@@ -221,7 +219,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
-        for batch in pieces(batches, "text", PIECE_BYTES):
+        for batch in pieces(batches, "text"):
             ids, off = tool.encode_batch(texts_of(batch.column("text")))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids.astype(np.int32))),
@@ -239,7 +237,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
-        for batch in pieces(batches, "text", PIECE_BYTES):
+        for batch in pieces(batches, "text"):
             ids, off = tool.encode_batch(texts_of(batch.column("text")))
             each = [ids[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
             yield pa.RecordBatch.from_pydict({

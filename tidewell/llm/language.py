@@ -25,6 +25,8 @@ from .shingles import spans
 
 #: Units of each direction, bytes of a segment, and segments read at once.
 UNITS, SEGMENT, AT_ONCE = 16, 24, 8192
+#: Bytes of text whose distinct words are read together.
+TOGETHER = 2 << 20
 #: The bounded sample that the network learns from: about so many texts of each language, and so many words of those.
 SAMPLE_TEXTS, SAMPLE_WORDS, MOST_LANGUAGES = 300, 20_000, 256
 STEPS, BATCH, RATE = 500, 512, 0.01
@@ -49,8 +51,11 @@ def padded(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     word = np.repeat(np.arange(len(start)), many)
     first = start[word] + SEGMENT * (np.arange(len(word)) - np.repeat(np.cumsum(many) - many, many))
     size = np.minimum(end[word] - first, SEGMENT)
-    rows = data[np.minimum(first[:, None] + np.arange(SEGMENT), len(data) - 1)]
-    return np.where(np.arange(SEGMENT) < size[:, None], rows, 32), size, word
+    rows = np.full((len(first), SEGMENT), 32, np.uint8)
+    for i in range(SEGMENT):
+        on = size > i
+        rows[on, i] = data[first[on] + i]
+    return rows, size, word
 
 
 def _flip(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -213,7 +218,7 @@ def identify(docs: DataFrame, network: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", TOGETHER):
             data, start, end, h, many = spans(bytes_of(batch.column("text")))
             pooled, places = np.zeros((batch.num_rows, max(1, len(net.languages)))), np.zeros(batch.num_rows)
             if len(h) and net.languages:

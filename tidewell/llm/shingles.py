@@ -15,7 +15,7 @@ _MULT = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20240117).integers(1, 2**64, 256, dtype=U64)
 _SEP = np.zeros(256, bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
-_BLOCK = 1 << 22
+_BLOCK = 1 << 20
 _POW = np.ones(1, U64)
 _INV = np.ones(1, U64)
 
