@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -66,3 +67,20 @@ def test_native_plan(spark, odd_docs):
     plan = quality.judge(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
     assert quality.judge(odd_docs.limit(0)).collect() == []
+
+
+def test_letters_without_common_words_go(spark):
+    rng = random.Random(5)
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, 9))) for _ in range(400)) for _ in range(5)]
+    foreign = " ".join(rng.choice("nie jest oraz przez tego już tylko być który jako ponieważ można wszystkie bardzo także miasto".split()) + rng.choice(["", "m", "ch", "go"]) for _ in range(300))
+    rest = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("alo", "erin", "ova", "untel", "isk")]
+    prose = [" ".join(rng.choices([*r.words, *rest], weights=[*r.words.values(), *[(1 - sum(r.words.values())) / len(rest)] * len(rest)], k=400)) for r in quality.REFERENCES]
+    rows = quality.judge(spark.createDataFrame(list(enumerate([*noise, foreign, *prose])), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["base_failed"] for r in rows] == [False] * 10
+    assert [r["kept"] for r in rows] == [False] * 6 + [True] * 4
+    assert [r["language"] for r in rows[6:]] == [r.name for r in quality.REFERENCES]
+
+
+def test_farthest_is_the_distance_without_common_words():
+    for r in quality.REFERENCES:
+        assert abs(r.farthest - js_distance([0.0] * len(r.words) + [1.0], [*r.words.values(), 1 - sum(r.words.values())])) < 1e-12

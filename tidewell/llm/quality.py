@@ -8,6 +8,7 @@ both.  Too short documents fail before that.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,12 @@ class Reference:
     classes: tuple[float, ...]
     words: dict[str, float] = field(hash=False)
 
+    @property
+    def farthest(self) -> float:
+        """Word distance of a text without a common word."""
+        seen = sum(self.words.values())
+        return math.sqrt(0.5 * seen + 0.5 * math.log2(2 / (2 - seen)) + 0.5 * (1 - seen) * math.log2(2 * (1 - seen) / (2 - seen)))
+
 
 def _words(text: str) -> dict[str, float]:
     pairs = [x.split(":") for x in text.split()]
@@ -43,8 +50,8 @@ REFERENCES = (
     Reference("de", (0.875, 0.060, 0.022, 0.003, 0.038, 0.002), _words("der:35 die:33 und:30 in:20 den:14 von:13 zu:12 das:12 mit:11 sich:9 des:9 auf:9 ist:9 im:9 dem:9 nicht:8 ein:8 eine:7 als:7 auch:5 es:6 an:6 er:5 so:3 dass:4")),
     Reference("es", (0.900, 0.035, 0.025, 0.003, 0.035, 0.002), _words("de:60 la:38 que:30 el:28 en:26 y:26 a:20 los:17 se:12 del:12 las:11 un:10 por:9 con:9 no:8 una:8 para:7 su:7 al:6 es:6 lo:6 como:5 más:4 o:4 sus:3")),
 )
-#: Largest distances of a document that passes, and the words and letters under which a histogram isn't compared.
-MAX_CLASS, MAX_WORDS, MIN_WORDS, MIN_COMPARED = 0.33, 0.62, 50, 100
+#: Largest class distance of a document that passes, its largest word distance as a share of the reference's farthest, and the words under which a document fails or its words aren't compared.
+MAX_CLASS, MAX_WORDS, MIN_WORDS, MIN_COMPARED = 0.33, 0.8, 50, 100
 
 
 def _terms(p: Column, q: Column) -> Column:
@@ -103,7 +110,7 @@ def judge(docs: DataFrame, references: tuple[Reference, ...] = REFERENCES, max_c
     names.  base_failed: under MIN_WORDS words, or over half of the words in
     repeated 3-word windows.  kept: not base_failed, and one reference is
     within max_class and, where the text has MIN_COMPARED words, within
-    max_words.  language is the nearest reference (the first of equals).  A
+    max_words of its farthest, the distance of a text without a common word.  language is the nearest reference (the first of equals).  A
     null text counts as empty and fails; repeated rows get equal results; an
     empty table gives none.
     """
@@ -112,11 +119,11 @@ def judge(docs: DataFrame, references: tuple[Reference, ...] = REFERENCES, max_c
     distances = []
     for r in references:
         of_classes, of_words = divergences(f["classes"], f["common"], f["n_words"], r)
-        distances.append(F.struct((of_classes / max_class + of_words / max_words).alias("sum"), F.lit(r.name).alias("name"), of_classes.alias("classes"), of_words.alias("words")))
-    rated = rated.withColumn("__d", F.array_min(F.array(*distances)))
+        distances.append(F.struct((of_classes / max_class + of_words / (max_words * r.farthest)).alias("sum"), F.lit(r.name).alias("name"), of_classes.alias("classes"), of_words.alias("words"), F.lit(max_words * r.farthest).alias("limit")))
+    rated = rated.withColumn("__all", F.array(*distances)).withColumn("__d", F.array_min("__all"))
     failed = (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
     d = F.col("__d")
-    near = (d["classes"] <= max_class) & ((f["n_words"] < MIN_COMPARED) | (d["words"] <= max_words))
+    near = F.exists("__all", lambda x: (x["classes"] <= max_class) & ((f["n_words"] < MIN_COMPARED) | (x["words"] <= x["limit"])))
     return rated.select(
         "doc_id", *[f[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"), (~failed & near).alias("kept"),
         d["name"].alias("language"), d["classes"].alias("class_distance"), d["words"].alias("word_distance"),
