@@ -78,3 +78,40 @@ def test_odd_rows(spark, odd_docs):
     assert clean(odd_docs, odd_items).count() == odd_docs.count() - 1
     assert contaminated(odd_docs, odd_items.limit(0)).collect() == [] and clean(odd_docs, odd_items.limit(0)).count() == odd_docs.count()
     assert contaminated(odd_docs.limit(0), odd_items).collect() == []
+
+
+def brute_whole(docs, items):
+    """Pairs with an item, or 12 words or more of it from one agreeing word to another, of which 0.8 agree in one shift."""
+    out = set()
+    for d, text in docs:
+        w = WORD.findall(lower(text or ""))
+        for i, item in items:
+            v = WORD.findall(lower(item or ""))
+            for shift in range(-len(v) + 1, len(w)):
+                equal = [w[shift + j] == v[j] for j in range(len(v)) if 0 <= shift + j < len(w)]
+                spans = [(a, b) for a in range(len(equal)) for b in range(a + 12, len(equal) + 1) if equal[a] and equal[b - 1]]
+                if len(equal) == len(v):
+                    spans.append((0, len(v)))
+                if any(5 * sum(equal[a:b]) >= 4 * (b - a) for a, b in spans):
+                    out.add((d, i))
+    return out
+
+
+def test_substitutions_and_short_items(spark):
+    rng = random.Random(12)
+    words = [f"t{i}" for i in range(2000)]
+    sizes = [1, 2, 4, 5, 6, 7, 9, 10, 11, 12, 13, 14, 16, 20, 25, 30, 60]
+    items = [(i, " ".join(rng.sample(words, k=n))) for i, n in enumerate(sizes)]
+    docs = []
+    for d in range(4 * len(sizes)):
+        part = items[d % len(sizes)][1].split()[-30:]
+        for at in rng.sample(range(len(part)), k=min(len(part) // 5, d // len(sizes) + 1)):
+            part[at] = "OTHER"
+        at, text = rng.randrange(20), rng.choices(words, k=20)
+        docs.append((d, " ".join([*text[:at], *part, *text[at:]])))
+    want = brute_whole(docs, items)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(d, b, whole=True).collect()}
+    assert got == want and len(want) >= len(docs)
+    assert {(x, x % len(sizes)) for x, _ in docs} <= got
+    assert {r["doc_id"] for r in clean(d, b, whole=True).collect()} == {x for x, _ in docs} - {x for x, _ in want}
