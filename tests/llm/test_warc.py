@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from tidewell.llm import warc
+from tidewell.llm import queries, warc
 
 
 def test_round_trip_and_links(spark, tmp_path):
@@ -51,3 +51,12 @@ def test_odd_rows(spark):
     assert warc.derivatives(pages).count() == 15
     assert warc.derivatives(pages.limit(0)).collect() == []
     assert os.linesep
+
+
+def test_query_returns_whole_records(spark):
+    rows = queries.op2_warc(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 3 * spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
+    for r in rows:
+        ((headers, block),) = warc.read_records(bytes(r["record"]))
+        assert headers["warc-record-id"] == r["record_id"] and len(block) == r["content_length"]
+        assert r["block"] == (None if r["record_type"] == "response" else block.decode())

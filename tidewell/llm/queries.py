@@ -24,7 +24,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(table(spark, sf_dir, "pages"), with_blocks=False).drop("block", "record")
+    return warc.derivatives(table(spark, sf_dir, "pages"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
