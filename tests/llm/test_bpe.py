@@ -42,21 +42,42 @@ def test_equal_to_the_library(vocabulary):
             assert own.decode(ids[a:b]) == tool.decode(want, skip_special_tokens=False), t[:80]
 
 
-def test_tree_equals_direct(vocabulary):
-    own = bpe.codec(vocabulary)
-    rng = random.Random(6)
-    for n in (257, 700, 5000, 40_000):
-        word = "".join(rng.choice("abcdeinrst") for _ in range(n))
-        assert own.tree(word) == own._direct([word])[0]
+def test_tree_equals_direct(vocabulary, monkeypatch):
+    """Small leaves and windows of a token: every kind of text is cut in every kind of place."""
+    monkeypatch.setattr(bpe, "LEAF", 16)
+    monkeypatch.setattr(bpe, "WINDOW", 1)
+    own, tool, rng = bpe.Codec(vocabulary), library(vocabulary), random.Random(6)
+    pools = ["ab c", "aaaaab", "the quick ", " \n\t x", "'s're it's 'rest'", "日本語テキスト。", "é ü", "0123.,-", "🙂👍", "''s'", "----", " x y", "abcdefghijklmnopqrstuvwxyz'"]
+    for i in range(3000):
+        pool = rng.choice(pools)
+        text = "".join(rng.choice(pool if i % 3 else rng.choice(pools)) for _ in range(rng.randrange(300)))
+        assert own.ids[own.encode(text)].tolist() == tool.encode(text, add_special_tokens=False).ids, text
+    assert own.leaves > 10_000 and own.joins > 10_000
 
 
-def test_forgets_and_learns_again(vocabulary, monkeypatch):
+def test_long_texts_of_the_table_go_by_the_tree(spark, vocabulary):
     own = bpe.Codec(vocabulary)
-    texts = [f"word{i} and {i} more" for i in range(300)]
-    want = [x.tolist() for x in own.encode_batch(texts)]
-    monkeypatch.setattr(bpe, "REMEMBERED", 50)
-    for _ in range(3):
-        assert [x.tolist() for x in own.encode_batch(texts)] == want
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    own.encode_batch(texts)
+    long = [t for t in texts if len(t) > bpe.LEAF]
+    assert len(long) > 50 and own.joins >= len(long) and own.leaves >= 2 * len(long)
+
+
+def test_other_files_are_read_by_the_library(vocabulary, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    assert bpe.exact(vocabulary)
+    spec = json.load(open(vocabulary, encoding="utf-8"))
+    spec["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "lower.json").write_text(json.dumps(spec))
+    path = f"{tmp_path}/lower.json"
+    assert not bpe.exact(path)
+    own, tool = bpe.Codec(path), Tokenizer.from_file(path)
+    ids, off = own.encode_batch(["Some TEXT here", "", "It'S"])
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [tool.encode(t, add_special_tokens=False).ids for t in ("Some TEXT here", "", "It'S")]
+    assert own.decode(ids[: off[1]]) == "some text here"
 
 
 def test_whole_table_and_odd_rows(spark, vocabulary, odd_docs):

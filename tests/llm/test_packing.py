@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 
 from tidewell.llm import packing
-from tidewell.llm.packing import best_fit_decreasing, pack, write_packed
+from tidewell.llm.packing import Plan, pack, write_packed
 
 
 def plain_best_fit(sizes, capacity):
@@ -20,15 +20,35 @@ def plain_best_fit(sizes, capacity):
     return rows
 
 
+def planned(sizes, capacity):
+    """Rows of piece numbers, and where each piece stands."""
+    plan, numbers, seen = Plan(dict(zip(*np.unique(sizes, return_counts=True), strict=True)), capacity), [], {}
+    for s in sizes.tolist():
+        numbers.append(seen.get(s, 0))
+        seen[s] = numbers[-1] + 1
+    row, place = plan.place(sizes, np.array(numbers))
+    return [np.flatnonzero(row == r) for r in range(plan.rows)], place
+
+
 def test_as_full_as_a_plain_search():
     rng = np.random.default_rng(1)
     for capacity in (1, 7, 64, 100):
-        sizes = rng.integers(1, capacity + 1, 300)
-        rows = best_fit_decreasing(sizes, capacity)
-        assert sorted(i for r in rows for i in r) == list(range(300))
-        assert all(sizes[r].sum() <= capacity for r in rows)
-        fill = lambda rows, sizes=sizes: sorted(int(sizes[r].sum()) for r in rows)
-        assert fill(rows) == fill(plain_best_fit(sizes.tolist(), capacity))
+        for n in (0, 1, 300):
+            sizes = rng.integers(1, capacity + 1, n)
+            if n:
+                sizes[: n // 3] = sizes[0]  # a third of all pieces has one length
+            rows, place = planned(sizes, capacity)
+            assert sorted(i for r in rows for i in r) == list(range(n))
+            for r in rows:
+                order = r[np.argsort(place[r])]
+                assert place[order].tolist() == (np.cumsum(sizes[order]) - sizes[order]).tolist() and sizes[r].sum() <= capacity
+            assert sorted(int(sizes[r].sum()) for r in rows) == sorted(int(sizes[r].sum()) for r in plain_best_fit(sizes.tolist(), capacity))
+
+
+def test_plan_is_small_for_many_pieces():
+    rng = np.random.default_rng(2)
+    plan = Plan({s: int(c) for s, c in enumerate(rng.integers(0, 10**10, 2049)) if s}, 2048)
+    assert sum(map(len, plan.segments.values())) < 40_000
 
 
 def unpacked(rows, capacity):
@@ -45,7 +65,7 @@ def unpacked(rows, capacity):
 def test_lossless(spark, vocabulary, monkeypatch, tmp_path, odd_docs):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(packing, "GATHERED", 3000)
+    monkeypatch.setattr(packing, "BLOCK", 16)
     tool = Tokenizer.from_file(vocabulary)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     write_packed(pack(docs, vocabulary, capacity=128, end_id=50256), f"{tmp_path}/packed")
@@ -54,6 +74,12 @@ def test_lossless(spark, vocabulary, monkeypatch, tmp_path, odd_docs):
         ids = [*tool.encode(text or "", add_special_tokens=False).ids, 50256]
         parts = sorted(got[doc])
         assert [x for _, part in parts for x in part] == ids and [s for s, _ in parts] == list(range(0, len(ids), 128))
+    sizes = np.array([len(p) for parts in got.values() for _, p in parts])
+    fill = sorted(r["n_tokens"] for r in spark.read.parquet(f"{tmp_path}/packed").select("n_tokens").collect())
+    assert fill == sorted(int(sizes[r].sum()) for r in plain_best_fit(sizes.tolist(), 128))
+    with monkeypatch.context() as m:
+        m.setattr(packing, "BROADCAST", 0)
+        assert fill == sorted(r["n_tokens"] for r in pack(docs.repartition(3), vocabulary, capacity=128, end_id=50256).collect())
     odd = unpacked(pack(odd_docs, vocabulary, capacity=64, end_id=50256).collect(), 64)
     assert odd[1] == [(0, [50256])] and sorted(odd[4]) == [(0, [*tool.encode("one two").ids, 50256])] * 2 and None in odd
     assert 1 not in unpacked(pack(odd_docs, vocabulary, capacity=64).collect(), 64)

@@ -1,22 +1,29 @@
 """Byte-level BPE encoding and decoding, equal to the tokenizers library.
 
-A text falls apart at every space between two characters that aren't white
-space: no pre-token crosses such a place, so each chunk is encoded alone and
-distinct chunks once.  A long pre-token (unsplit text) goes by tree
-concatenation: the leaves are encoded in one parallel batch, and neighbours
-are joined by encoding growing windows around the join until the tokens at
-both ends of the window are those that the sides had already.  Since a token
-sequence is a BPE encoding exactly if each adjacent pair is one, the joined
-sequence is the encoding of the whole.
+A long text goes by tree concatenation: it is halved down to leaves, the
+leaves are encoded in parallel, and neighbours are joined level by level by
+encoding growing windows around each join, until the window begins with
+tokens of the left side and ends with tokens of the right side that fix
+everything beyond it.  Two facts make that exact.  Between a character that
+isn't white space and one that is, or between letters, digits and signs
+(after an apostrophe aside), a pre-token ends whatever stands around it; so
+beyond such a place inside the agreeing tokens both sides are right.  And in
+a stretch of one kind of character, a token sequence is a BPE encoding
+exactly if each adjacent pair is one.
+
+Files of other kinds than that are read by the library on whole texts.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
+import json
 import re
+import unicodedata
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +31,11 @@ from pyspark.sql import DataFrame
 
 from .common import pieces, texts_of
 
-#: Characters of a chunk or pre-token from which the tree is used, and of its leaves.
-LONG, LEAF = 1024, 256
-#: Chunks and pre-tokens that a worker remembers; beyond that it starts anew. Pre-tokens that the library encodes at once, as each result is a large object.
-REMEMBERED, AT_ONCE = 300_000, 8192
-#: Chunks whose pre-tokens the pattern below finds as the library does: no character beyond Latin and no odd white space.
-_PLAIN = re.compile("[\t\n\r -~\u00a1-\u024f]*").fullmatch
-_L, _N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
-_PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ \t\n\r{_L}{_N}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+#: Characters of a leaf; longer texts go by the tree. Tokens of each side that the first window takes. Threads that encode leaves.
+LEAF, WINDOW, THREADS = 4096, 8, 2
+#: The pre-token pattern of byte-level BPE files; a fixed value.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_BLANK = frozenset("\t\n\x0b\x0c\r \x85\xa0                　")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -41,170 +45,158 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Store:
-    """Rows of ids of any length, one after the other."""
+def kind(c: str) -> str:
+    """White space, letter, number, sign, or unknown, as the pre-token pattern sees a character."""
+    if c in _BLANK:
+        return "s"
+    return {"L": "L", "N": "N"}.get(k[0], "o") if (k := unicodedata.category(c)) not in ("Cn", "Co") else "?"
 
-    def __init__(self) -> None:
-        self.flat, self.starts, self.rows = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
 
-    def append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        used = self.starts[self.rows]
-        while len(self.flat) < used + len(ids):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while len(self.starts) < self.rows + len(sizes) + 1:
-            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
-        self.flat[used : used + len(ids)] = ids
-        self.starts[self.rows + 1 : self.rows + 1 + len(sizes)] = used + np.cumsum(sizes)
-        self.rows += len(sizes)
+def _fixed(text: str) -> bool:
+    """Whether a pre-token ends inside the text whatever stands around it."""
+    kinds = [kind(c) for c in text]
+    for i in range(1, len(kinds)):
+        a, b = kinds[i - 1], kinds[i]
+        if a != b and a != "s" and "?" not in (a, b) and (b == "s" or text[i - 1] != "'"):
+            return True
+    return False
 
-    def add(self, rows: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        self.append(np.fromiter(chain.from_iterable(rows), np.uint32, int(sizes.sum())), sizes)
 
-    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the rows at, joined, and where each ends in them."""
-        starts = self.starts[at]
-        sizes = self.starts[at + 1] - starts
-        ends = np.cumsum(sizes)
-        return self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(path)
+    tool.no_truncation()
+    tool.no_padding()
+    return tool
+
+
+def exact(path: str) -> bool:
+    """Whether the file is plain byte-level BPE, which the tree encodes: no other normalizer, pattern or option, and each token encodes to itself."""
+    spec = json.loads(Path(path).read_text(encoding="utf-8"))
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    plain = plain and (spec.get("decoder") or {}).get("type") == "ByteLevel" and model.get("type", "BPE") == "BPE"
+    plain = plain and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    plain = plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"] for t in spec.get("added_tokens", []))
+    if not plain:
+        return False
+    alphabet, merged = _byte_alphabet(), ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    added = {t["content"] for t in spec.get("added_tokens", [])}
+    whole = [*alphabet, *merged]
+    if len(set(whole)) != len(whole) or set(model["vocab"]) - added != set(whole):
+        return False
+    from tokenizers import Tokenizer
+
+    bare = Tokenizer(_library(path).model)
+    return all(len(e.ids) == 1 for i in range(0, len(merged), 4096) for e in bare.encode_batch_fast(merged[i : i + 4096], add_special_tokens=False))
 
 
 class Codec:
-    """Encoder and decoder of a byte-level BPE file of the tokenizers library."""
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.full = Tokenizer.from_file(path)
-        self.full.no_truncation()
-        self.full.no_padding()
-        self.bare = Tokenizer(self.full.model)
-        size = self.full.get_vocab_size(with_added_tokens=True)
-        added = self.full.get_added_tokens_decoder()
-        self.special = {t.content: i for i, t in added.items()}
-        self.chunked = all(not (re.search(r"\s", t.content) or t.lstrip or t.rstrip or t.single_word) for t in added.values())
+    """Encoder and decoder of a file of the tokenizers library; plain: what exact() says of it."""
+
+    def __init__(self, path: str, plain: bool | None = None) -> None:
+        self.plain = exact(path) if plain is None else plain
+        self.joins = self.leaves = 0
+        if not self.plain:
+            self.full = _library(path)
+            return
+        import tiktoken
+
+        spec = json.loads(Path(path).read_text(encoding="utf-8"))
+        alphabet, vocab = _byte_alphabet(), spec["model"]["vocab"]
+        order = [*alphabet, *("".join(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"])]
+        self.bytes = [bytes(map(alphabet.__getitem__, t)) for t in order]
+        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.tokens = [self.full.id_to_token(i) or "" for i in range(size)]
-        alphabet = _byte_alphabet()
-        self.bytes = [t.encode() if i in added or any(c not in alphabet for c in t) else bytes(map(alphabet.__getitem__, t)) for i, t in enumerate(self.tokens)]
-        self.words: dict[str | tuple[str], int] = {}
-        self.of_words = Store()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str | tuple[str, bool], int] = {}
-        self.of_known = Store()
-        if len(self.words) > REMEMBERED:
-            self.words, self.of_words = {}, Store()
-
-    def _learn(self, keys: list[str | tuple[str, bool]]) -> None:
-        """Encode chunks that aren't known yet: plain short ones by their pre-tokens, each of which is encoded once.
-
-        A key is the chunk without its leading space, or " " and the chunk that
-        starts a text, or, if the chunk ends in white space, the chunk and
-        whether it starts a text.
-        """
-        texts = [(k[0] if k[1] else " " + k[0]) if isinstance(k, tuple) else k[1:] if k[0] == " " else " " + k for k in keys]
-        special = self.at_special.search if self.at_special else lambda t: None
-        parts = [_PRETOKEN.findall(t) if len(t) < LONG and _PLAIN(t) and not special(t) else [(t,)] for t in texts]
-        flat = [*chain.from_iterable(parts)]
-        new = list(set(flat).difference(self.words))
-        short = [w for w in new if isinstance(w, str)]
-        found = [e.ids for i in range(0, len(short), AT_ONCE) for e in self.full.encode_batch_fast(short[i : i + AT_ONCE], add_special_tokens=False)]
-        other = [w for w in new if not isinstance(w, str)]
-        self.words.update(zip([*short, *other], range(len(self.words), len(self.words) + len(new)), strict=True))
-        self.of_words.add([*found, *(self.encode_long(w[0]) for w in other)])
-        ids, ends = self.of_words.take(np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat)))
-        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
-        self.of_known.append(ids, np.diff(np.concatenate(([0], ends))[np.cumsum([0, *map(len, parts)])]))
-
-    def split(self, parts: list[str]) -> list[str | tuple[str, bool]]:
-        """Keys of a text's chunks, from its parts between spaces: parts next to more white space stay together."""
-        out = [parts[0]]
-        for p in parts[1:]:
-            last = out[-1]
-            if last and p and not last[-1].isspace() and not p[0].isspace():
-                out.append(p)
-            else:
-                out[-1] = f"{last} {p}"
-        return [(c, i == 0) if c and c[-1].isspace() else " " + c if i == 0 else c for i, c in enumerate(out)]
+        self.core = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks={b: i for i, b in enumerate(self.bytes)}, special_tokens={})
+        #: The id of each rank; special tokens come after the ranks, in the order of their names.
+        self.ids = np.array([*(vocab[t] for t in order), *self.special.values()], np.uint32)
+        self.rank_of = {c: len(order) + i for i, c in enumerate(self.special)}
+        self.bytes += [c.encode() for c in self.special]
+        rank = np.zeros(int(self.ids.max()) + 1, np.int64)
+        rank[self.ids] = np.arange(len(self.ids))
+        sizes = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
+        self.sizes, self.starts, self.flat = sizes[rank], (np.cumsum(sizes) - sizes)[rank], np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.pool: ThreadPoolExecutor | None = None
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, uint32, and offsets: text i has ids[off[i]:off[i+1]]."""
-        collecting = gc.isenabled()
-        gc.disable()
-        try:
-            return self._encode_batch(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if not self.chunked:
-            ids = [e.ids for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.fromiter(chain.from_iterable(ids), np.uint32), np.cumsum([0, *map(len, ids)])
-        if len(self.known) > REMEMBERED or len(self.words) > REMEMBERED:
-            self._forget()
-        split = [t.split(" ") for t in texts]
-        firsts = [p[0] for p in split]
-        for p in split:
-            p[0] = " " + p[0]
-        keys = [*chain.from_iterable(split)]
-        unknown = set(keys).difference(self.known)
-        bad = {k for k in unknown if k != " " and (not k or k[-1].isspace() or k[0].isspace() and k[0] != " ")}
-        if bad or " " in keys:
-            for i, p in enumerate(split):
-                if not bad.isdisjoint(p) or p[0] == " " and len(p) > 1:
-                    split[i] = self.split([firsts[i], *p[1:]])
-            keys = [*chain.from_iterable(split)]
-            unknown = set(keys).difference(self.known)
-        if unknown:
-            self._learn(list(unknown))
-        at = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
-        ids, ends = self.of_known.take(at)
-        return ids, np.concatenate(([0], ends))[np.cumsum([0, *map(len, split)])]
-
-    def encode_long(self, text: str) -> list[int]:
-        """Ids of a text of any length: special tokens first, then each pre-token, long ones by the tree."""
-        out: list[int] = []
-        for part in self.at_special.split(text) if self.at_special else [text]:
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                for word, _ in self.full.pre_tokenizer.pre_tokenize_str(part):
-                    out += self.tree(word) if len(word) > LEAF else self._direct([word])[0]
-        return out
-
-    def _direct(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.bare.encode_batch_fast(words, add_special_tokens=False)]
-
-    def tree(self, word: str) -> list[int]:
-        """Ids of one pre-token, in stand-in characters, by tree concatenation."""
-        level = self._direct([word[i : i + LEAF] for i in range(0, len(word), LEAF)])
+        if not self.plain:
+            rows = [e.ids for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(rows), np.uint32), np.cumsum([0, *map(len, rows)])
+        rows = [np.array(self.encode(t), np.int64) for t in texts]
+        return self.ids[np.concatenate(rows)] if rows else np.zeros(0, np.uint32), np.cumsum([0, *map(len, rows)])
+
+    def encode(self, text: str) -> list[int]:
+        """Ranks of a text of any length: special tokens stand between parts that are encoded alone."""
+        parts = self.at_special.split(text) if self.at_special else [text]
+        if len(parts) == 1:
+            return self.tree(text)
+        return [*chain.from_iterable([self.rank_of[p]] if p in self.rank_of else self.tree(p) for p in parts)]
+
+    def tree(self, text: str) -> list[int]:
+        """Ranks of a text without special tokens: halves down to leaves, encoded in parallel, then joined level by level."""
+        if len(text) <= LEAF:
+            return self.core.encode_ordinary(text)
+        cuts = [0, len(text)]
+        while cuts[1] > LEAF:
+            cuts = sorted({*cuts, *((a + b) // 2 for a, b in zip(cuts, cuts[1:], strict=False))})
+        level = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.leaves += len(level)
+        self.pool = self.pool or ThreadPoolExecutor(THREADS)
+        level = list(self.pool.map(self.core.encode_ordinary, level))
         while len(level) > 1:
             level = [self.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
-        k = 4
+        """Ranks of both sides' texts together."""
+        self.joins += 1
+        back = ahead = WINDOW
         while True:
-            a, b = left[-k:], right[:k]
-            window = self._direct(["".join(self.tokens[i] for i in a + b)])[0]
-            if (k >= len(left) or window[:2] == a[:2]) and (k >= len(right) or window[-2:] == b[-2:]):
-                return left[:-k] + window + right[k:]
-            k *= 2
+            while back < len(left) and self.bytes[left[-back]][0] & 0xC0 == 0x80:
+                back += 1
+            while ahead < len(right) and self.bytes[right[ahead]][0] & 0xC0 == 0x80:
+                ahead += 1
+            a, b = left[-back:], right[:ahead]
+            window = self.core.encode_ordinary(self._text(a + b))
+            starts, ends = back >= len(left) or self._agree(a, window), ahead >= len(right) or self._agree(b, window, -1)
+            if starts and ends:
+                return left[:-back] + window + right[ahead:]
+            back, ahead = back * (1 if starts else 2), ahead * (1 if ends else 2)
+
+    def _text(self, ranks: list[int], errors: str = "strict") -> str:
+        return b"".join(map(self.bytes.__getitem__, ranks)).decode("utf-8", errors)
+
+    def _agree(self, side: list[int], window: list[int], way: int = 1) -> bool:
+        """Whether both begin (way 1) or end (way -1) with the same tokens, and those fix what lies beyond them."""
+        n, most = 0, min(len(side), len(window))
+        at = 0 if way > 0 else -1
+        while n < most and side[at + way * n] == window[at + way * n]:
+            n += 1
+        if n < 2:
+            return False
+        edge = self._text(side[:2] if way > 0 else side[-2:], "ignore")
+        if len({kind(c) for c in edge}) == 1 and kind(edge[0]) != "?":
+            return True
+        return _fixed(self._text(side[:n] if way > 0 else side[-n:], "ignore"))
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        if not self.plain:
+            return self.full.decode(ids.tolist(), skip_special_tokens=False)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes().decode("utf-8", "replace")
 
 
 _CODECS: dict[str, Codec] = {}
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, plain: bool | None = None) -> Codec:
     """The codec of a file, one for each worker process."""
     if path not in _CODECS:
-        _CODECS[path] = Codec(path)
+        _CODECS[path] = Codec(path, plain)
     return _CODECS[path]
 
 
@@ -213,12 +205,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     A null or empty text has no ids and decodes to the empty text; an empty
     table gives an empty result; repeated rows give repeated results; more
-    columns are ignored.  path: a byte-level BPE file, readable on all
-    executors.
+    columns are ignored.  path: a file of the tokenizers library, readable on
+    the driver and on all executors.
     """
+    plain = exact(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(path)
+        tool = codec(path, plain)
         for batch in pieces(batches, "text"):
             ids, off = tool.encode_batch(texts_of(batch.column("text")))
             yield pa.RecordBatch.from_pydict({
@@ -234,9 +227,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     Nulls, empty texts, empty tables, repeated rows and more columns as in encode().
     """
+    plain = exact(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(path)
+        tool = codec(path, plain)
         for batch in pieces(batches, "text"):
             ids, off = tool.encode_batch(texts_of(batch.column("text")))
             each = [ids[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]

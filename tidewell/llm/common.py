@@ -26,11 +26,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return place
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet below the checkpoint folder and read it again: this cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tidewell/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
