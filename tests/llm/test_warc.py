@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import time
 
 import pytest
 
@@ -37,6 +38,63 @@ def test_derived_content():
     assert dict(plain[0])["WARC-Concurrent-To"] == dict(meta[0])["WARC-Record-ID"]
 
 
+def test_open_tags_take_linear_time():
+    for piece in ("<a x ", "<title>", "<title ", "<html x ", "<script ", "<script>", "<!-- ", "<img src='", "<p ", "</script "):
+        began = time.perf_counter()
+        headers, block = warc.response("http://a.org/", piece * (1_000_000 // len(piece)))
+        warc.derive({k.lower(): v for k, v in headers}, block)
+        assert time.perf_counter() - began < 5, piece
+
+
+def test_odd_markup():
+    assert warc.text_of("a <!-- b --> c <script x>1<2</script >d <style>e") == "a c d"
+    assert warc.text_of("1 <b>2</b> <i 3") == "1 2 <i 3" and warc.text_of("a <script b <!-- c") == "a <script b"
+    assert list(warc.links_of('<a class=x href="a>b"><img alt=1 src=c><a href=\'d\'><area href = e >')) == [("a", "href", "a>b"), ("img", "src", "c"), ("a", "href", "d"), ("area", "href", "e")]
+    assert warc.title_of("<title x>A &lt; B</title>") == "A < B" and warc.title_of("<title>A") is None
+    ids = {warc.response("u", "same", key=k)[0][1][1] for k in ("1", "2", "")}
+    assert len(ids) == 3
+
+
+def plain_derivation(page, url):
+    """Title, links and text of a page by the standard library's parser."""
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.links, self.words, self.inside = [], [], []
+
+        def handle_starttag(self, tag, attrs):
+            found = [v for n, v in attrs if n in ("href", "src")]
+            if tag in ("a", "area", "img", "link", "iframe", "script") and found:
+                self.links.append(urljoin(url, found[0].strip()))
+            if tag in ("script", "style", "noscript", "template"):
+                self.inside.append(tag)
+
+        def handle_endtag(self, tag):
+            if self.inside and self.inside[-1] == tag:
+                self.inside.pop()
+
+        def handle_data(self, data):
+            if not self.inside:
+                self.words.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return reader.links, "".join(reader.words).split()
+
+
+def test_derivation_against_a_parser(spark):
+    made = {(r["page_id"], r["record_type"]): r["block"] for r in warc.derivatives(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).collect()}
+    for page, url, html in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect():
+        links, words = plain_derivation(html or "", url or "")
+        fields = [x.partition(": ") for x in made[page, "metadata"].split("\r\n")]
+        assert [v.rpartition(" ")[0] for k, _, v in fields if k == "outlink"] == links
+        assert "".join(made[page, "conversion"].split()) == "".join("".join(words).split())
+
+
 def test_truncated_and_foreign_files():
     headers, block = warc.response("http://a.org/", "x")
     data = warc.write_record(headers, block)

@@ -21,14 +21,17 @@ Headers = list[tuple[str, str]]
 #: The date of responses that are made from pages, which have none.
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_DROPPED = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
+_CLOSED = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "title")}
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|th|thead|title|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
 _BLANK = re.compile(r"[ \t\r\f\v\xa0]+")
 _LINES = re.compile(r" ?\n[ \n]*")
-_LINK = re.compile(r"<(a|area|img|link|iframe|script)\b[^>]*?\s(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_LINKED = re.compile(r"<(a|area|img|link|iframe|script)\b", re.I)
+_PLACE = re.compile(r"\s(href|src)\s*=\s*", re.I)
+_VALUE = re.compile(r"\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)")
+_TITLE, _HTML = re.compile(r"<title\b", re.I), re.compile(r"<html\b", re.I)
+_LANG = re.compile(r"\slang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -86,22 +89,68 @@ def http_parts(block: bytes) -> tuple[str, Headers, bytes]:
     return lines[0], [(n.strip(), v.strip()) for n, _, v in (x.partition(":") for x in lines[1:])], body if gap else b""
 
 
-def response(url: str, page: str, date: str = DATE) -> tuple[Headers, bytes]:
+def response(url: str, page: str, date: str = DATE, key: str = "") -> tuple[Headers, bytes]:
+    """The response record of a page; key tells pages of the same content apart."""
     body = page.encode()
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
     payload = digest(body)
-    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", url, date, payload)), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", payload), ("WARC-Block-Digest", digest(block)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", url, date, payload, key)), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", payload), ("WARC-Block-Digest", digest(block)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return headers, block
 
 
+def undressed(page: str, blank: bool) -> str:
+    """The page without comments, scripts and styles, each a space if blank; else their opening tags stay.
+
+    All scans here go forward only, so that pages of open tags take linear time.
+    """
+    out, at = [], 0
+    while m := _DROPPED.search(page, at):
+        opened = page.find(">", m.end()) + 1 if m[1] else m.end()
+        if not opened:  # no tag ends after this place, so only a comment can be dropped
+            last = page.find("<!--", m.end())
+            return "".join(out) + page[at : last if last >= 0 else len(page)]
+        closed = _CLOSED[m[1].lower()].search(page, opened) if m[1] else None
+        end = closed.end() if closed else page.find("-->", opened) + 3 if not m[1] and page.find("-->", opened) >= 0 else len(page)
+        out += [page[at : m.start()], " " if blank or not m[1] else page[m.start() : opened]]
+        at = end
+    return "".join(out) + page[at:]
+
+
 def text_of(page: str) -> str:
     """Plain text of a page: scripts, styles, comments and tags go, blocks end lines, entities are resolved, blanks are folded."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page.replace("\n", " "))))
+    text = undressed(page.replace("\n", " "), True)
+    last = text.rfind(">") + 1
+    text = _TAG.sub("", _BREAK.sub("\n", text[:last])) + text[last:]
     if "&" in text:
         text = html.unescape(text)
     return _LINES.sub("\n", _BLANK.sub(" ", text)).strip()
 
 
+def title_of(shown: str) -> str | None:
+    """What stands in the first title tag that is closed."""
+    m = _TITLE.search(shown)
+    opened = shown.find(">", m.end()) + 1 if m else 0
+    closed = _CLOSED["title"].search(shown, opened) if opened else None
+    return _BLANK.sub(" ", html.unescape(shown[opened : closed.start()])) if closed else None
+
+
+def language_of(shown: str) -> str | None:
+    at = 0
+    while (m := _HTML.search(shown, at)) and (at := shown.find(">", m.end())) >= 0:
+        if found := _LANG.search(shown, m.end(), at):
+            return found[1].lower()
+    return None
+
+
+def links_of(shown: str) -> Iterator[tuple[str, str, str]]:
+    """Tag, attribute and raw value of the first link of each tag."""
+    at = 0
+    while (m := _LINKED.search(shown, at)) and (at := shown.find(">", m.end())) >= 0:
+        if (place := _PLACE.search(shown, m.end(), at)) and (value := _VALUE.match(shown, place.end())):
+            yield m[1].lower(), place[1].lower(), next(x for x in value.groups() if x is not None)
+            at = max(at, value.end())
+
+
 def charset_of(content_type: str) -> str:
     m = re.search(r"charset\s*=\s*\"?([\w.:-]+)", content_type, re.I)
     try:
@@ -122,18 +171,18 @@ def derive(source: dict[str, str], block: bytes) -> list[tuple[Headers, bytes]]:
     page = body.decode(charset_of(kind), "replace")
     target, date, of = source.get("warc-target-uri", ""), source.get("warc-date", DATE), source.get("warc-record-id", "")
     payload = source.get("warc-payload-digest") or digest(body)
-    shown = _DROP.sub(lambda m: m[0][: m[0].find(">") + 1] if m[1] else " ", page)
+    shown = undressed(page, False)
     fields: Headers = [("http-status", status), *((f"http-header-{n.lower()}", v) for n, v in http)]
-    if m := _TITLE.search(shown):
-        fields.append(("title", _BLANK.sub(" ", html.unescape(m[1]))))
-    if m := _LANG.search(shown):
-        fields.append(("language", m[1].lower()))
-    for m in _LINK.finditer(shown):
-        link = html.unescape(next(x for x in m.groups()[2:] if x is not None)).strip()
+    if (title := title_of(shown)) is not None:
+        fields.append(("title", title))
+    if language := language_of(shown):
+        fields.append(("language", language))
+    for tag, attribute, value in links_of(shown):
+        link = html.unescape(value).strip()
         try:
-            fields.append(("outlink", f"{urljoin(target, link)} {m[1].lower()}/@{m[2].lower()}"))
+            fields.append(("outlink", f"{urljoin(target, link)} {tag}/@{attribute}"))
         except ValueError:
-            fields.append(("outlink", f"{link} {m[1].lower()}/@{m[2].lower()}"))
+            fields.append(("outlink", f"{link} {tag}/@{attribute}"))
     out = []
     meta = "".join(f"{k}: {_line(v)}\r\n" for k, v in fields).encode()
     plain = text_of(page).encode("utf-8", "replace")
@@ -155,7 +204,8 @@ def derivatives(pages: DataFrame, with_blocks: bool = True) -> DataFrame:
     """The response, metadata and conversion record of each row of (page_id, url, html).
 
     A null url or html counts as empty; a page without text has an empty
-    conversion; repeated rows give equal records; an empty table gives none;
+    conversion; repeated rows give equal records, equal pages of other numbers
+    records with ids of their own; an empty table gives none;
     more columns are ignored, whatever their names.  with_blocks: also the
     block as text (derived records only) and the whole record.
     """
@@ -164,7 +214,7 @@ def derivatives(pages: DataFrame, with_blocks: bool = True) -> DataFrame:
         for batch in pieces(batches, "html"):
             rows: dict[str, list] = {c: [] for c in _COLUMNS}
             for page, url, text in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                first = response(_line(url or ""), text or "")
+                first = response(_line(url or ""), text or "", key="" if page is None else str(page))
                 for headers, block in [first, *derive({k.lower(): v for k, v in first[0]}, first[1])]:
                     h = {k.lower(): v for k, v in headers}
                     derived = h["warc-type"] != "response"
