@@ -81,8 +81,8 @@ EXAMPLES = (
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]", re.ASCII)
 #: Words that make the spelt-out signs of an address.
 _SIGNS = frozenset(("at", "dot"))
-#: Tokens without a label that a run keeps on either side of those that may carry one, as context.
-CONTEXT = 3
+#: Tokens, padding included, that are decoded together; a longer run goes alone.
+AREA = 1 << 16
 _CUES = {"phone": "phone", "tel": "phone", "telefon": "phone", "telefono": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "whatsapp": "phone", "cell": "phone", "mail": "email", "email": "email", "write": "email", "contact": "email", "card": "card", "visa": "card", "karte": "card", "credit": "card", "ip": "ip", "host": "ip", "server": "ip"}
 
 
@@ -217,26 +217,30 @@ def train(steps: int = 60, rate: float = 0.5, decay: float = 0.01) -> Field:
 
 
 def viterbi(scores: list[np.ndarray], pairs: np.ndarray) -> list[np.ndarray]:
-    """The best label of each token of each run; runs go together, padded to the longest of a batch."""
+    """The best label of each token of each run; runs of like lengths go together, as many as AREA holds."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(scores)
     order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
     move = pairs + ALLOWED
-    for at in range(0, len(order), 512):
-        some = order[at : at + 512]
+    at = 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and (to + 1 - at) * len(scores[order[to]]) <= AREA:
+            to += 1
+        some, at = order[at:to], to
         length = np.array([len(scores[i]) for i in some])
         longest = int(length[-1])
         grid = np.zeros((len(some), longest, len(LABELS)))
         grid[:, :, 1:] = -np.inf
         for row, i in zip(grid, some, strict=True):
             row[: len(scores[i])] = scores[i]
-        best = grid[:, 0] + np.where([x[0] == "I" for x in LABELS], -np.inf, 0)
+        best = grid[:, 0] + np.where([x[0] == "I" for x in LABELS], -np.inf, 0) if longest else grid.sum(1)
         back = np.zeros((longest, len(some), len(LABELS)), np.int8)
         for t in range(1, longest):
             way, live = best[:, :, None] + move, (length > t)[:, None]
             back[t] = np.where(live, way.argmax(1), np.arange(len(LABELS)))
             best = np.where(live, way.max(1) + grid[:, t], best)
         label = best.argmax(1)
-        path = np.zeros((len(some), longest), np.int64)
+        path = np.zeros((len(some), longest), np.int8)
         for t in range(longest - 1, -1, -1):
             path[:, t] = label
             label = back[t][np.arange(len(some)), label]
@@ -252,7 +256,7 @@ REACH = 120
 
 
 def runs(text: str) -> list[tuple[int, int]]:
-    """Stretches of the text, cut at white space, that hold every token that may carry a label, with context."""
+    """Stretches of the text that hold every token that may carry a label and REACH characters on either side of it."""
     out: list[tuple[int, int]] = []
     for m in _ANCHOR.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
