@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: (verdict, host and path) in the order of the contract.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Suffixes of two labels under which domains are registered.
@@ -91,7 +93,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], .
     pages = pages.select("page_id", host.alias("host"), path.alias("path"))
     known = outcomes.where(F.col("page_id").isNotNull() & F.col("bad").isNotNull()).groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     hosts = pages.join(known, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    bounds = reputation(hosts).select("host", "bound")
+    bounds = reputation(materialize(hosts, "hosts")).select("host", "bound")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = F.when(F.col("bound") > threshold, F.lit("block")).otherwise(F.lit("allow"))
     return pages.join(bounds, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, judged).alias("verdict"))
