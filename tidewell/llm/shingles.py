@@ -1,13 +1,16 @@
 """Word and shingle hashing in numpy over whole texts.
 
 A word is ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z only.  Hashes are
-64-bit: a polynomial over a random byte table inside a word, mixed with the
-splitmix finaliser, and a second polynomial over the words of a shingle.
+64-bit.  Words of up to SHORT bytes: a polynomial over a random byte table,
+mixed with the splitmix finaliser; longer ones, for which words with equal
+polynomials are known, go through xxh3.  A shingle is a second polynomial over
+the hashes of its words.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U64 = np.uint64
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -16,21 +19,9 @@ _TABLE = np.random.default_rng(20240117).integers(1, 2**64, 256, dtype=U64)
 _SEP = np.zeros(256, bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
 _BLOCK = 1 << 20
-_POW = np.ones(1, U64)
-_INV = np.ones(1, U64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
-    if len(_POW) < n:
-        size = 1 << (n - 1).bit_length()
-        inverse = pow(_MULT, -1, 1 << 64)
-        _POW = np.full(size, _MULT, U64)
-        _INV = np.full(size, inverse, U64)
-        _POW[0] = _INV[0] = 1
-        np.multiply.accumulate(_POW, out=_POW)
-        np.multiply.accumulate(_INV, out=_INV)
-    return _POW, _INV
+#: Bytes of the words that the polynomial hashes.
+SHORT = 32
+_POW = np.array([pow(_MULT, i, 1 << 64) for i in range(SHORT)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,15 +66,17 @@ def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     end = np.flatnonzero(gap & ~before)
     if not len(start):
         return data, start, end, np.zeros(0, U64), np.zeros(len(texts), np.int64)
-    pows, inv = _powers(len(data))
-    acc = _TABLE[data]
-    acc *= pows[: len(data)]
-    np.add.accumulate(acc, out=acc)
-    low = np.zeros(len(start), U64)
-    np.take(acc, start - 1, out=low, mode="clip")
-    if start[0] == 0:
-        low[0] = 0
-    h = mix((acc[end - 1] - low) * inv[start])
+    size = end - start
+    h = _TABLE[data[start]] + size.astype(U64) * U64(0xC2B2AE3D27D4EB4F)
+    on = np.flatnonzero(size > 1)
+    for i in range(1, SHORT):
+        h[on] += _TABLE[data[start[on] + i]] * _POW[i]
+        on = on[size[on] > i + 1]
+        if not len(on):
+            break
+    h = mix(h)
+    for i in on:
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), 20240117)
     return data, start, end, h, np.diff(np.searchsorted(start, ends_of_text), prepend=0)
 
 
