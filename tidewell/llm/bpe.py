@@ -20,6 +20,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import chain
@@ -112,6 +113,7 @@ class Codec:
         self.core = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks={b: i for i, b in enumerate(self.bytes)}, special_tokens={})
         #: The id of each rank; special tokens come after the ranks, in the order of their names.
         self.ids = np.array([*(vocab[t] for t in order), *self.special.values()], np.uint32)
+        self.same = bool((self.ids == np.arange(len(self.ids))).all())
         self.rank_of = {c: len(order) + i for i, c in enumerate(self.special)}
         self.bytes += [c.encode() for c in self.special]
         rank = np.zeros(int(self.ids.max()) + 1, np.int64)
@@ -125,8 +127,12 @@ class Codec:
         if not self.plain:
             rows = [e.ids for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(rows), np.uint32), np.cumsum([0, *map(len, rows)])
-        rows = [np.array(self.encode(t), np.int64) for t in texts]
-        return self.ids[np.concatenate(rows)] if rows else np.zeros(0, np.uint32), np.cumsum([0, *map(len, rows)])
+        flat, off = array("I"), np.zeros(len(texts) + 1, np.int64)
+        for i, text in enumerate(texts):
+            flat.fromlist(self.encode(text))
+            off[i + 1] = len(flat)
+        ranks = np.frombuffer(flat, np.uint32)
+        return ranks if self.same else self.ids[ranks], off
 
     def encode(self, text: str) -> list[int]:
         """Ranks of a text of any length: special tokens stand between parts that are encoded alone."""
