@@ -21,6 +21,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session; a temporary one only where none is set, as in tests."""
     place = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
         place = spark.sparkContext.getCheckpointDir()
     return place
