@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Named entities that html_unescape resolves; the ampersand comes last so that nothing is resolved twice.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-#: Kinds of credentials and their patterns.
-CREDENTIALS = (("aws_key", r"AKIA[0-9A-Z]{16}"), ("password", r"(?i)password\s*[=:]\s*\S+"), ("token", r"(?i)token\s*[=:]\s*\S{16,}"), ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("secret", r"(?i)secret\s*[=:]\s*\S{8,}"))
+#: Named entities that html_unescape resolves, whatever their case, beside numeric ones; fixed values.
+ENTITIES = (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", "\u00a0"))
+_ENTITY = r"(?i)&(?:amp|lt|gt|quot|apos|nbsp|#x\+?[0-9a-f]+|#\+?[0-9]+);"
+#: Kinds of credentials and their patterns; fixed values.
+CREDENTIALS = (
+    ("sk_key", r"sk-[A-Za-z0-9]{20,}"),
+    ("ghp_token", r"ghp_[A-Za-z0-9]{36}"),
+    ("xox_token", r"xox[baprs]-[A-Za-z0-9-]+"),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("assignment", r"""(password|passwd|secret|api[_-]?key)\s*[:=]\s*["']?[^\s"']{8,}"""),
+)
 
 
 def trimmed(text: Column) -> Column:
@@ -20,10 +27,23 @@ def content_id(prefix: str, text: Column) -> Column:
     return F.concat(F.lit(prefix), F.md5(trimmed(text)))
 
 
+def _resolved(entity: Column) -> Column:
+    """What an entity that the pattern found stands for; itself if its number is no character."""
+    name = F.lower(F.substring(entity, 2, F.char_length(entity) - 2) if isinstance(entity, str) else entity.substr(F.lit(2), F.char_length(entity) - 2))
+    number = F.when(name.startswith("#x"), F.conv(F.regexp_replace(name, r"^#x\+?0*", "0"), 16, 10).cast("decimal(38,0)")).when(name.startswith("#"), F.regexp_replace(name, r"^#\+?0*(.{0,30}).*", "0$1").cast("decimal(38,0)"))
+    valid = number.between(0, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).cast("long")), 8, "0")), "UTF-32")
+    out = F.when(valid, char)
+    for known, value in ENTITIES:
+        out = out.when(name == known, F.lit(value))
+    return out.otherwise(entity)
+
+
 def html_unescape(text: Column) -> Column:
-    for name, value in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(value))
-    return text
+    """Named and numeric entities resolved in one pass from left to right, so that nothing is resolved twice."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), 0), _resolved)
+    parts = F.zip_with(F.split(text, _ENTITY), found, lambda p, e: F.concat(F.coalesce(p, F.lit("")), F.coalesce(e, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
 
 
 def clean(text: Column) -> Column:
@@ -94,5 +114,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def md5_bucket(token: Column, buckets: int = 64) -> Column:
-    """The first 8 hex digits of the md5, modulo buckets."""
-    return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long"), F.lit(buckets))
+    """The first 8 bytes of the md5, as a number, modulo buckets: a power of two up to 256, so the eighth byte alone decides."""
+    if buckets not in (1, 2, 4, 8, 16, 32, 64, 128, 256):
+        raise ValueError("buckets is a power of two up to 256")
+    return F.pmod(F.conv(F.substring(F.md5(token), 15, 2), 16, 10).cast("long"), F.lit(buckets))
+
+
+def token_windows(tokens: Column, size: int, overlap: int) -> Column:
+    """(start, tokens) of windows of size tokens, each overlap tokens into the one before; one that holds nothing but overlap is kept."""
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap is smaller than the window")
+    starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(tokens, s + 1, F.lit(size)).alias("tokens")))

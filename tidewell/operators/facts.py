@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scope import is_current
+
 
 def put(store: DataFrame, batch: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows of batch replace those of store with equal keys; of equal keys in batch the one last by order stays."""
@@ -49,10 +51,11 @@ def screen(batch: DataFrame, tombstones: DataFrame) -> DataFrame:
 
 
 def invalidate(store: DataFrame, events: DataFrame, at: int) -> DataFrame:
-    """Facts that stem from one of the events (event_id) and are open end at that time."""
-    hit = store.select("id", F.explode("source_refs").alias("r")).join(events, F.col("r.event_id") == events["event_id"], "left_semi").select("id").distinct().withColumn("__hit", F.lit(True))
-    j = store.join(hit, "id", "left")
-    return j.select(*[F.when(F.col("__hit") & F.col("valid_to").isNull(), F.lit(at)).otherwise(F.col(c)).alias(c) if c == "valid_to" else F.col(c) for c in store.columns])
+    """Current facts that cite one of the events (session_id, event_id) end at that time and are revised."""
+    cited = store.where(is_current()).select("id", F.explode("source_refs").alias("r"))
+    hit = cited.join(events, (F.col("r.session_id") == events["session_id"]) & (F.col("r.event_id") == events["event_id"]), "left_semi").select("id").distinct().withColumn("__hit", F.lit(True))
+    new = {"valid_to": F.lit(at), "revision": F.col("revision") + 1}
+    return store.join(hit, "id", "left").select(*[F.when(F.col("__hit"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in store.columns])
 
 
 def corroborate(store: DataFrame, refs: DataFrame, sessions: int = 2) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """Edges (src, tgt, weight) by sorted pair, weights summed, loops dropped."""
-    pair = edges.where("src <> tgt").select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt"), "weight")
-    return pair.groupBy("src", "tgt").agg(F.sum("weight").alias("weight"))
+    """Edges (src, tgt, weight, seq) by sorted pair; of parallel ones the weight last by seq wins, loops are dropped."""
+    pair = edges.where("src <> tgt").select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt"), "weight", "seq")
+    return pair.groupBy("src", "tgt").agg(F.max_by("weight", "seq").alias("weight"))
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -27,8 +27,11 @@ def edge_degree(edges: DataFrame) -> DataFrame:
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not (context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+    """df in the shared checkpoint folder; a folder of this machine serves only a session that runs on it alone."""
+    session, context = df.sparkSession, df.sparkSession.sparkContext
+    if not (context.getCheckpointDir() or session.conf.get("spark.checkpoint.dir", None)):
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
     return df.checkpoint()
 

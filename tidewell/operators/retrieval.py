@@ -39,20 +39,22 @@ def all_tokens(facts: DataFrame, tokens: list[str]) -> DataFrame:
 
 def nearest(vectors: DataFrame, query: DataFrame, k: int, threshold: float = 0.2) -> DataFrame:
     """vectors: (id, vector); query: one row (vector).  The k nearest by cosine at or above the threshold."""
-    q = query.first()[0]
-    scored = vectors.select("id", T.cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in q])).alias("score"))
+    scored = vectors.select("id", "vector", query.scalar().alias("q")).select("id", T.cosine(F.col("vector"), F.col("q")).alias("score"))
     return ranked(scored.where(F.col("score") >= threshold), k)
 
 
 def hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(id, hop) of the nodes within depth undirected hops of the seeds (id), each at its least hop."""
-    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).union(edges.select(F.col("dst").alias("id"), F.col("src").alias("to")))
-    seen = seeds.select("id").distinct().withColumn("hop", F.lit(0))
-    front = seen
-    for hop in range(1, depth + 1):
-        front = front.join(both, "id").select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
-        seen = seen.union(front)
-    return seen
+    """(id, hop) of the nodes within depth undirected hops of the seeds (id), each at its least hop.
+
+    A hop is one join and one minimum over what the hop before gave, which
+    stays in as steps of length 0, so the plan grows linearly with depth.
+    """
+    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).union(edges.select(F.col("dst").alias("id"), F.col("src").alias("to"))).distinct()
+    reached = seeds.select("id").distinct().withColumn("hop", F.lit(0))
+    for _ in range(depth):
+        steps = reached.join(both, "id", "left").select(F.explode(F.array(F.struct("id", "hop"), F.struct(F.col("to").alias("id"), (F.col("hop") + 1).alias("hop")))).alias("x"))
+        reached = steps.where("x.id IS NOT NULL").groupBy("x.id").agg(F.min("x.hop").alias("hop"))
+    return reached
 
 
 def graph_scores(edges: DataFrame, nodes: DataFrame, corrects: float = 1.5, derived: float = 1.2) -> DataFrame:

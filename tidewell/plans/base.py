@@ -62,7 +62,7 @@ def star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of entities in documents: story is the day, entity the user, cue the k of props."""
     e = read(spark, sf_dir, "events")
     kind = F.element_at(F.array(F.lit("draft"), F.lit("story-plan"), F.lit("chapter-plan")), (F.col("event_id") % 3 + 1).cast("int"))
-    return e.select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("story"), F.col("user_id").alias("entity_id"), F.concat(F.lit("E"), F.col("user_id").cast("string")).alias("title"), F.concat(F.lit("E"), F.col("user_id").cast("string"), F.lit("-"), (F.col("event_id") % 2).cast("string")).alias("name"),
+    return e.select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("story"), F.col("user_id").alias("entity_id"), F.concat(F.lit("E"), F.col("user_id").cast("string")).alias("title"), F.concat(F.lit("E"), F.col("user_id").cast("string"), F.lit("-"), F.when(F.col("event_id") % 97 == 0, F.lit("alias")).otherwise((F.col("event_id") % 2).cast("string"))).alias("name"),
                     kind.alias("doc_type"), F.col("event_type").alias("fact_type"), F.get_json_object("props", "$.k").alias("cue"), F.floor(F.col("event_id") / 20).cast("long").alias("passage_id"), "value")
 
 
@@ -79,7 +79,7 @@ FACTS = TURNS + """, facts AS (SELECT 'fact-' || md5(conversation_id || chr(1) |
   CASE WHEN turn % 7 = 6 THEN 'Rejected' ELSE 'Trusted' END AS trust_state, CASE WHEN turn % 6 = 5 THEN timestamp END AS valid_to, timestamp AS created_at,
   CASE WHEN turn % 5 = 1 THEN 'fact-' || md5(conversation_id || chr(1) || (turn + 1)) END AS superseded_by, 1 AS revision, conv_id, turn FROM turns)"""
 EDGES = FACTS + ", edges AS (SELECT a.ws, a.sess, a.id AS src, b.id AS dst, CASE WHEN a.turn % 5 = 4 THEN 'Corrects' ELSE 'Related' END AS rel, 1.0::DOUBLE AS weight FROM facts a JOIN facts b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
-STAR = """star AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS story, user_id AS entity_id, 'E' || user_id AS title, 'E' || user_id || '-' || (event_id % 2) AS name,
+STAR = """star AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS story, user_id AS entity_id, 'E' || user_id AS title, 'E' || user_id || '-' || CASE WHEN event_id % 97 = 0 THEN 'alias' ELSE (event_id % 2)::VARCHAR END AS name,
   ['draft', 'story-plan', 'chapter-plan'][(event_id % 3 + 1)::INT] AS doc_type, event_type AS fact_type, json_extract_string(props, '$.k') AS cue, event_id // 20 AS passage_id, value FROM events)"""
 PART_GRAPH = "part_graph AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS tgt, sum(l_quantity) AS weight FROM lineitem GROUP BY l_partkey, l_suppkey)"
 #: Macros would need DDL, so token lists are spelled out.

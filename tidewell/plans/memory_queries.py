@@ -48,18 +48,18 @@ def stream_pending_tail(spark: SparkSession, d: str) -> DataFrame:
     return O.pending(t, marks).select("conversation_id", "turn_id", "timestamp")
 
 
-@query(f"WITH {TURNS}, {_MARKS}, n AS (SELECT conversation_id, turn_id AS last_turn_id, timestamp AS last_timestamp FROM turns WHERE turn < 4 UNION ALL FROM marks) SELECT conversation_id, arg_max(last_turn_id, last_timestamp) AS last_turn_id, max(last_timestamp) AS last_timestamp FROM n GROUP BY 1")
+@query(f"WITH {TURNS}, {_MARKS}, n AS (SELECT conversation_id, turn_id AS last_turn_id, timestamp AS last_timestamp FROM turns UNION ALL FROM marks) SELECT conversation_id, arg_max(last_turn_id, last_timestamp) AS last_turn_id, max(last_timestamp) AS last_timestamp FROM n GROUP BY 1")
 def stream_advance_marks(spark: SparkSession, d: str) -> DataFrame:
     t = turns(spark, d)
     marks = t.where("turn = 2 AND conv_id % 3 = 0").select("conversation_id", F.col("turn_id").alias("last_turn_id"), F.col("timestamp").alias("last_timestamp"))
-    return O.advance(marks, t.where("turn < 4"))
+    return O.advance(marks, t)
 
 
-@query(f"WITH {FACTS}, b AS (SELECT id, ws, 'new' AS text, revision + 1 AS revision FROM facts WHERE turn = 1) SELECT id, ws, text, revision::BIGINT AS revision FROM b UNION ALL SELECT id, ws, left(text, 20), revision FROM facts WHERE id NOT IN (SELECT id FROM b)")
+@query(f"WITH {FACTS}, b AS (SELECT id, ws, 'new' AS text, revision + 1 AS revision FROM facts WHERE turn = 1) SELECT id, ws, text, revision::BIGINT AS revision FROM b UNION ALL SELECT id, ws, text, revision FROM facts WHERE id NOT IN (SELECT id FROM b)")
 def dml_put_many(spark: SparkSession, d: str) -> DataFrame:
     """A batch that holds each key twice; the later row wins."""
     f = facts(spark, d)
-    store = f.select("id", "ws", F.substring("text", 1, 20).alias("text"), "revision")
+    store = f.select("id", "ws", "text", "revision")
     new = f.where("turn = 1").select("id", "ws", F.explode(F.array(F.struct(F.lit("old").alias("text"), F.lit(0).alias("seq")), F.struct(F.lit("new").alias("text"), F.lit(1).alias("seq")))).alias("x"), (F.col("revision") + 1).alias("revision"))
     return O.put(store, new.select("id", "ws", "x.text", "revision", "x.seq"), ["id"], "seq")
 
@@ -81,10 +81,15 @@ def dml_reject_tombstone(spark: SparkSession, d: str) -> DataFrame:
     return store.join(kept, "id", "left").select("id", "trust_state", F.col("free").isNull().alias("screened"))
 
 
-@query(f"WITH {FACTS} SELECT id, CASE WHEN valid_to IS NULL AND list_has_any(events, ['3:2:0', '3:2:1', '8:1:1', '10:0:0']) THEN 99 ELSE valid_to END AS valid_to FROM facts")
+_CITED = "superseded_by IS NULL AND valid_to IS NULL AND trust_state <> 'Rejected' AND len(list_filter(list_zip(sessions, events), lambda r: (r[1] = 's3' AND r[2] LIKE '%:2:0') OR (r[1] = 's4' AND r[2] LIKE '8:%:1'))) > 0"
+
+
+@query(f"WITH {FACTS} SELECT id, CASE WHEN {_CITED} THEN 99 ELSE valid_to END AS valid_to, (CASE WHEN {_CITED} THEN 2 ELSE 1 END)::BIGINT AS revision FROM facts")
 def dml_invalidate(spark: SparkSession, d: str) -> DataFrame:
-    events = spark.createDataFrame([("3:2:0",), ("3:2:1",), ("8:1:1",), ("10:0:0",)], "event_id string")
-    return O.invalidate(facts(spark, d), events, 99).select("id", "valid_to")
+    """All events of session s3 that end in :2:0, and those of s4 in conversation 8 that end in :1, whichever facts cite them."""
+    f = facts(spark, d)
+    events = f.select(F.explode("source_refs").alias("r")).select("r.*").distinct().where("(session_id = 's3' AND event_id LIKE '%:2:0') OR (session_id = 's4' AND event_id LIKE '8:%:1')")
+    return O.invalidate(f, events, 99).select("id", "valid_to", "revision")
 
 
 @query(f"""WITH {FACTS} SELECT id, CASE WHEN turn % 2 = 1 AND trust_state = 'Trusted' AND len(list_distinct(list_append(sessions, 's9'))) >= 2 THEN 'Corroborated' ELSE trust_state END AS trust_state,
@@ -196,26 +201,25 @@ def graph_edge_degree(spark: SparkSession, d: str) -> DataFrame:
     return G.edge_degree(part_graph(spark, d))
 
 
-@query("WITH e AS (SELECT n_name AS src, r_name AS tgt, s_acctbal AS weight FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT least(src, tgt) AS src, greatest(src, tgt) AS tgt, round(sum(weight), 4) AS weight FROM e WHERE src <> tgt GROUP BY 1, 2")
+@query("WITH e AS (SELECT n_name AS src, r_name AS tgt, s_acctbal AS weight, s_suppkey AS seq FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT least(src, tgt) AS src, greatest(src, tgt) AS tgt, arg_max(weight, seq) AS weight FROM e WHERE src <> tgt GROUP BY 1, 2")
 def graph_undirected(spark: SparkSession, d: str) -> DataFrame:
     n, r, s = (read(spark, d, t) for t in ("nation", "region", "supplier"))
-    e = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("src"), F.col("r_name").alias("tgt"), F.col("s_acctbal").alias("weight"))
-    return G.undirected(e).select("src", "tgt", F.round("weight", 4).alias("weight"))
+    e = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("src"), F.col("r_name").alias("tgt"), F.col("s_acctbal").alias("weight"), F.col("s_suppkey").alias("seq"))
+    return G.undirected(e)
 
 
-_NATION_EDGES = "e AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS tgt FROM nation WHERE n_nationkey % 4 <> 1)"
+_REACH = f"WITH RECURSIVE {EDGES}, b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), w(node, seen) AS (SELECT a, a FROM b UNION SELECT w.node, b.b FROM w JOIN b ON w.seen = b.a), c AS (SELECT node, min(seen) AS component FROM w GROUP BY node)"
 
 
-@query(f"WITH RECURSIVE {_NATION_EDGES}, b AS (SELECT src AS a, tgt AS b FROM e UNION SELECT tgt, src FROM e), w(node, seen) AS (SELECT a, a FROM b UNION SELECT w.node, b.b FROM w JOIN b ON w.seen = b.a) SELECT node, min(seen) AS component FROM w GROUP BY node")
+@query(f"{_REACH} SELECT node, component FROM c")
 def graph_components(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "nation").where("n_nationkey % 4 <> 1").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("src"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("tgt"))
-    return G.components(e)
+    """Components of the whole fact graph."""
+    return G.components(fact_edges(spark, d).select("src", F.col("dst").alias("tgt")))
 
 
-@query(f"WITH RECURSIVE {_NATION_EDGES}, b AS (SELECT src AS a, tgt AS b FROM e UNION SELECT tgt, src FROM e), w(node, seen) AS (SELECT a, a FROM b UNION SELECT w.node, b.b FROM w JOIN b ON w.seen = b.a), c AS (SELECT node, min(seen) AS component FROM w GROUP BY node), s AS (SELECT component, count(*) AS n FROM c GROUP BY component ORDER BY n DESC, component LIMIT 1) SELECT node, component, n FROM c JOIN s USING (component)")
+@query(f"{_REACH}, s AS (SELECT component, count(*) AS n FROM c GROUP BY component ORDER BY n DESC, component LIMIT 1) SELECT node, component, n FROM c JOIN s USING (component)")
 def graph_largest_component(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "nation").where("n_nationkey % 4 <> 1").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("src"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("tgt"))
-    return G.largest_component(e)
+    return G.largest_component(fact_edges(spark, d).select("src", F.col("dst").alias("tgt")))
 
 
 @query("""WITH r AS (SELECT 'c' || (o_custkey % 200) AS name, o_orderpriority AS type, o_orderstatus AS source_id, o_orderkey AS seen FROM orders), t AS (SELECT name, type, count(*) AS n, min(seen) AS first FROM r GROUP BY ALL), b AS (SELECT name, type FROM t QUALIFY row_number() OVER (PARTITION BY name ORDER BY n DESC, first) = 1)
@@ -225,8 +229,8 @@ def graph_merge_entities(spark: SparkSession, d: str) -> DataFrame:
     return G.merge_entities(o).select("name", "type", F.array_join("sources", ",").alias("sources"), "created_at", "records")
 
 
-@query("""WITH r AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 50 AS tgt, l_orderkey AS source_id, 1.0::DOUBLE AS weight, l_orderkey % 3 = 0 AS known FROM lineitem WHERE l_orderkey % 10 < 6) SELECT src, tgt, greatest(sum(weight), count(DISTINCT source_id)::DOUBLE) AS weight, count(DISTINCT source_id) AS sources FROM r GROUP BY src, tgt""")
+@query("""WITH r AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 50 AS tgt, l_orderkey AS source_id, 1.0::DOUBLE AS weight, l_orderkey % 3 = 0 AS known FROM lineitem) SELECT src, tgt, greatest(sum(weight), count(DISTINCT source_id)::DOUBLE) AS weight, count(DISTINCT source_id) AS sources FROM r GROUP BY src, tgt""")
 def graph_merge_relations(spark: SparkSession, d: str) -> DataFrame:
-    r = read(spark, d, "lineitem").where("l_orderkey % 10 < 6").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50).alias("tgt"), F.col("l_orderkey").alias("source_id"), F.lit(1.0).alias("weight"))
+    r = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50).alias("tgt"), F.col("l_orderkey").alias("source_id"), F.lit(1.0).alias("weight"))
     known = r.where("source_id % 3 = 0").dropDuplicates(["src", "tgt", "source_id"])
     return G.merge_relations(r, known)

@@ -17,15 +17,25 @@ def fn_content_id(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", T.content_id("doc-", F.col("text")).alias("content_id"))
 
 
-@query("SELECT page_id, md5(u) AS unescaped, length(u) AS n_chars FROM (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&') AS u FROM pages)")
+_ENT = r"'(?i)&(?:amp|lt|gt|quot|apos|nbsp|#x\+?[0-9a-f]+|#\+?[0-9]+);'"
+_RESOLVED = "CASE lower({0}) WHEN '&amp;' THEN '&' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&quot;' THEN '\"' WHEN '&apos;' THEN chr(39) WHEN '&nbsp;' THEN chr(160) ELSE CASE WHEN lower({0}) LIKE '&#x%' THEN chr(('0x' || regexp_extract({0}, '(?i)x\\+?([0-9a-f]+)', 1))::INT) ELSE chr(regexp_extract({0}, '[0-9]+')::INT) END END"
+
+
+def _unescaped(text: str) -> str:
+    """SQL of html_unescape: the pieces between entities, each followed by what its entity stands for."""
+    cut, found = f"regexp_split_to_array({text}, {_ENT})", f"regexp_extract_all({text}, {_ENT})"
+    return f"array_to_string(list_transform(range(1, len({cut}) + 1), lambda i: {cut}[i] || coalesce(CASE WHEN i <= len({found}) THEN {_RESOLVED.format(f'{found}[i]')} END, '')), '')"
+
+
+@query(f"SELECT page_id, md5(u) AS unescaped, length(u) AS n_chars FROM (SELECT page_id, {_unescaped('html')} AS u FROM pages)")
 def fn_html_unescape(spark: SparkSession, d: str) -> DataFrame:
     u = T.html_unescape(F.col("html"))
     return read(spark, d, "pages").select("page_id", F.md5(u).alias("unescaped"), F.char_length(u).cast("long").alias("n_chars"))
 
 
-@query(rf"SELECT doc_id, md5(regexp_replace({_TRIM.format('text')}, '[\x00-\x1f\x7f-\x{{9f}}]', '', 'g')) AS cleaned FROM documents")
+@query(rf"WITH t AS (SELECT page_id, {_TRIM.format('html')} AS html FROM pages) SELECT page_id, md5(regexp_replace({_unescaped('html')}, '[\x00-\x1f\x7f-\x{{9f}}]', '', 'g')) AS cleaned FROM t")
 def fn_clean(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", F.md5(F.regexp_replace(T.trimmed(F.col("text")), r"[\x00-\x1f\x7f-\x9f]", "")).alias("cleaned"))
+    return read(spark, d, "pages").select("page_id", F.md5(T.clean(F.col("html"))).alias("cleaned"))
 
 
 @query(f"SELECT doc_id, len({TOKENS}) AS n_tokens, len(list_distinct({TOKENS})) AS n_distinct FROM documents")
@@ -45,7 +55,7 @@ def fn_whitespace_summary(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.md5(T.folded_space(F.col("text"))).alias("folded"), T.summary(F.col("text")).alias("summary"))
 
 
-@query("SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{p}') AS {n}" for n, p in T.CREDENTIALS) + " FROM documents")
+@query("SELECT doc_id, " + ", ".join("regexp_matches(text, '{}') AS {}".format(p.replace("'", "''"), n) for n, p in T.CREDENTIALS) + " FROM documents")
 def fn_credential_screen(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", *[F.rlike("text", F.lit(p)).alias(n) for n, p in T.CREDENTIALS])
 
@@ -67,13 +77,12 @@ def agg_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, greatest(len(w), 1), 100)) AS start FROM w WHERE len(w) > 0)
-SELECT doc_id, start // 100 AS seq, len(w[start + 1:start + 120]) AS n_tokens, md5(array_to_string(w[start + 1:start + 120], ' ')) AS chunk_key FROM s WHERE start = 0 OR start + 20 < len(w)""")
+SELECT doc_id, start // 100 AS seq, len(w[start + 1:start + 120]) AS n_tokens, md5(array_to_string(w[start + 1:start + 120], ' ')) AS chunk_key FROM s""")
 def win_chunking(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of 120 words that overlap by 20; a last window of nothing but overlap isn't made."""
-    w = read(spark, d, "documents").select("doc_id", F.filter(F.split("text", r"\s+"), lambda t: t != "").alias("w")).where(F.size("w") > 0)
-    s = w.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - 21, F.lit(0)), F.lit(100))).alias("start"))
-    c = F.slice("w", F.col("start") + 1, F.lit(120))
-    return s.select("doc_id", F.floor(F.col("start") / 100).cast("long").alias("seq"), F.size(c).cast("long").alias("n_tokens"), F.md5(F.array_join(c, " ")).alias("chunk_key"))
+    """Windows of 120 words that overlap by 20, a last one of nothing but overlap included."""
+    w = read(spark, d, "documents").select("doc_id", F.filter(F.split("text", r"\s+"), lambda t: t != "").alias("w"))
+    c = w.select("doc_id", F.explode(T.token_windows(F.col("w"), 120, 20)).alias("c"))
+    return c.select("doc_id", F.floor(F.col("c.start") / 100).cast("long").alias("seq"), F.size("c.tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("c.tokens", " ")).alias("chunk_key"))
 
 
 @query(f"""WITH {TURNS}, b AS (SELECT conv_id, turn, len(regexp_split_to_array(content, '\\s+')) + 1 AS cost FROM turns), c AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM b), f AS (SELECT *, sum(CASE WHEN used > 150 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS over FROM c)
@@ -131,11 +140,11 @@ def agg_rule_density(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("lang", F.col("x.term").alias("term")).agg(F.sum("x.n").alias("matches"), F.sum("chars").alias("chars"), F.round(density, 4).alias("per_10k"), (density > 50).alias("warn"))
 
 
-@query(f"WITH t AS (SELECT doc_id, unnest({TOKENS}) AS word, generate_subscripts({TOKENS}, 1) AS pos FROM documents), c AS (SELECT word, count(*) AS n, min(doc_id * 1000000 + pos) AS first FROM t GROUP BY word) SELECT word, n FROM c ORDER BY n DESC, first LIMIT 50")
+@query(f"WITH t AS (SELECT doc_id, unnest({TOKENS}) AS word, generate_subscripts({TOKENS}, 1) AS pos FROM documents), c AS (SELECT word, count(*) AS n, min({{'d': doc_id, 'p': pos}}) AS first FROM t GROUP BY word) SELECT word, n FROM c ORDER BY n DESC, first LIMIT 50")
 def agg_most_common(spark: SparkSession, d: str) -> DataFrame:
     """The 50 most frequent words, of equals the one seen first."""
     t = read(spark, d, "documents").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "word"))
-    c = t.groupBy("word").agg(F.count("*").alias("n"), F.min(F.col("doc_id") * 1000000 + F.col("pos")).alias("first"))
+    c = t.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
     return c.orderBy(F.desc("n"), "first").limit(50).select("word", "n")
 
 
@@ -159,7 +168,7 @@ def set_shingle_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return s.join(b, "doc_id").select("doc_id", F.round(T.jaccard(F.col("s"), F.col("s2")), 6).alias("similarity"))
 
 
-@query(rf"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS w FROM documents), b AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS bucket, count(*) AS n FROM t GROUP BY ALL)
+@query(rf"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS w FROM documents), b AS (SELECT doc_id, ('0x' || substr(md5(w), 15, 2))::BIGINT % 64 AS bucket, count(*) AS n FROM t GROUP BY ALL)
 SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM b""")
 def fn_hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
     """Sparse rows of the hashed bag of words, of length 1."""
@@ -175,11 +184,11 @@ def fn_passages(spark: SparkSession, d: str) -> DataFrame:
     return p.select("doc_id", (F.col("i") + 1).cast("long").alias("line_start"), F.md5("l").alias("passage"))
 
 
-@query(f"WITH t AS (SELECT conv_id, turn, unnest({TOKENS}) AS w, generate_subscripts({TOKENS}, 1) AS p FROM conversations), f AS (SELECT conv_id, w, min(turn * 100000 + p) AS first FROM t GROUP BY conv_id, w) SELECT conv_id, md5(string_agg(w, ' ' ORDER BY first)) AS seen, count(*) AS n FROM f GROUP BY conv_id")
+@query(f"WITH t AS (SELECT conv_id, turn, unnest({TOKENS}) AS w, generate_subscripts({TOKENS}, 1) AS p FROM conversations), f AS (SELECT conv_id, w, min({{'t': turn, 'p': p}}) AS first FROM t GROUP BY conv_id, w) SELECT conv_id, md5(string_agg(w, ' ' ORDER BY first)) AS seen, count(*) AS n FROM f GROUP BY conv_id")
 def win_first_seen(spark: SparkSession, d: str) -> DataFrame:
     """Distinct words of each conversation in the order in which they come first."""
     t = turns(spark, d).select("conv_id", "turn", F.posexplode(T.tokens(F.col("content"))).alias("p", "w"))
-    f = t.groupBy("conv_id", "w").agg(F.min(F.col("turn") * 100000 + F.col("p")).alias("first"))
+    f = t.groupBy("conv_id", "w").agg(F.min(F.struct("turn", "p")).alias("first"))
     g = f.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("first", "w"))).alias("x"))
     return g.select("conv_id", F.md5(F.array_join(F.col("x.w"), " ")).alias("seen"), F.size("x").cast("long").alias("n"))
 
