@@ -1,0 +1 @@
+"""Readers and writers of documents, stores, corpora, reports and rules."""
