@@ -127,8 +127,8 @@ class Gateway:
 
     def commit(self, turns: DataFrame, batch: int) -> None:
         """Screen the batch's new turns, write them, then the marks of all its conversations."""
-        new = fresh(turns, self.marks(batch), self.chunks(batch))
-        new = new.withColumn("__t", self._key()).join(self.tombstones(), F.col("__t") == F.col("tombstone"), "left_anti").drop("__t")
+        allowed = turns.withColumn("__t", self._key()).join(self.tombstones(), F.col("__t") == F.col("tombstone"), "left_anti").drop("__t")
+        new = fresh(allowed, self.marks(batch), self.chunks(batch))
         told = new.join(screened(new, self.gate), "chunk_id")
         for name, rows in (("chunks", told), ("marks", O.advance(self.spark.createDataFrame([], MARK), turns))):
             rows.select(*[c.split()[0] for c in (self.CHUNK if name == "chunks" else MARK).split(", ")]).write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
