@@ -60,7 +60,7 @@ def hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 def graph_scores(edges: DataFrame, nodes: DataFrame, corrects: float = 1.5, derived: float = 1.2) -> DataFrame:
     """Sum of weight times the kind's factor over the edges between the nodes (id), for both ends."""
     inside = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").dropDuplicates(["src", "dst", "rel"])
-    w = F.col("weight") * F.when(F.col("rel") == "Corrects", corrects).when(F.col("rel") == "DerivedFrom", derived).otherwise(1.0)
+    w = F.col("weight") * F.when(F.col("rel").isin("Corrects", "Supersedes"), corrects).when(F.col("rel").isin("DependsOn", "AboutTask"), derived).otherwise(1.0)
     return inside.select(F.explode(F.array("src", "dst")).alias("id"), w.alias("w")).groupBy("id").agg(F.sum("w").alias("score"))
 
 
