@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +28,20 @@ def edge_degree(edges: DataFrame) -> DataFrame:
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    """df in the shared checkpoint folder; a folder of this machine serves only a session that runs on it alone."""
+    """df written below the shared checkpoint folder and read again; a folder of this machine serves only a session that runs on it alone.
+
+    checkpoint() would keep the plan's inferred constraints, which double in every round of a loop.
+    """
     session, context = df.sparkSession, df.sparkSession.sparkContext
-    if not (context.getCheckpointDir() or session.conf.get("spark.checkpoint.dir", None)):
+    place = context.getCheckpointDir() or session.conf.get("spark.checkpoint.dir", None)
+    if not place:
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
-    return df.checkpoint()
+        place = context.getCheckpointDir()
+    path = f"{place}/tidewell/{context.applicationId}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:
