@@ -92,3 +92,16 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row for each key, the last by order."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def replace_facts(store: DataFrame, new: DataFrame) -> DataFrame:
+    """store with new facts (its columns and supersedes) in, and those that they supersede closed at the new fact's time, in one table."""
+    pairs = new.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("old_id"), F.col("id").alias("new_id"), F.col("created_at").alias("at"))
+    return supersede(store, pairs).join(new.select("id"), "id", "left_anti").select(*store.columns).unionByName(new.select(*store.columns))
+
+
+def slots(stored: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(ws, slot, action) of an index run that may be done again: unchanged where the content hash is the same, supersede where it differs, fresh where the slot is new, gone where the corpus lost it."""
+    keys = ["ws", "slot"]
+    j = stored.select(*keys, F.col("content_hash").alias("h0")).join(corpus.select(*keys, F.col("content_hash").alias("h1")), keys, "full")
+    return j.select(*keys, F.when(F.col("h0").isNull(), "fresh").when(F.col("h1").isNull(), "gone").when(F.col("h0") == F.col("h1"), "unchanged").otherwise("supersede").alias("action"))
