@@ -16,8 +16,10 @@ LEAST_SCORE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the network tells; those without a letter and those it is unsure of go."""
     network = language.learn(docs.select("doc_id", "text", "lang"))
-    told = language.identify(docs, network)
-    return told.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    clashing = {c: f"__{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    told = language.identify(docs.withColumnsRenamed(clashing), network)
+    kept = told.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({v: k for k, v in clashing.items()}).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
