@@ -99,3 +99,18 @@ def test_shingles_are_those_of_the_words():
     values, offsets = shingle_sets([t.encode() for t in texts])
     assert np.diff(offsets).tolist() == [len(shingles(t)) for t in texts]
     assert set(values[offsets[4] : offsets[5]]) != set(values[offsets[5] :])
+
+
+def test_odd_rows_and_long_words(spark, odd_docs):
+    """Nulls, repeated rows, a very long text, and two words that equal polynomials would confuse."""
+    got = near_dedup.near_duplicates(odd_docs).collect()
+    assert len(got) == odd_docs.count() and sum(r["doc_id"] is None for r in got) == 1
+    by = {r["doc_id"]: r for r in got}
+    assert by[1]["n_shingles"] == by[2]["n_shingles"] == by[3]["n_shingles"] == 0 and by[6]["n_shingles"] == 5 and by[4]["component_id"] == 4
+    assert all(r["kept"] for r in got) and all(r["component_id"] is None for r in got if r["doc_id"] is None)
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = near_dedup.near_duplicates(spark.createDataFrame([(1, word), (2, other), (3, word)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {1: 1, 2: 2, 3: 1}

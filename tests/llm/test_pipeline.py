@@ -35,6 +35,7 @@ def test_run_against_brute_force(spark, vocabulary):
 
 def test_odd_rows_pass_all_stages(spark, odd_docs, tmp_path):
     docs, folder = odd_docs.withColumn("lang", odd_docs["lang_pred"]), "/root/testdata/sf0.001"
+    assert {(r["lang_pred"], r["score"]) for r in corpus_pipeline.identify_language(spark, docs, folder).collect()} == {("en", 1.0)}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns, name
         docs = stage(spark, docs, folder)
