@@ -29,6 +29,8 @@ CUES = {
 NEGATABLE = ("信任", "默认", "配合", "护住", "并肩", "愿意跟", "接住")
 NEGATED = r"(不等于|不是|并非|非)\s*信任|信任\s*(不了|不起来|不起|不能)"
 SEGMENT = r"[。！？!?；;\n]+"
+#: Characters of a name by which it meets passages.
+GRAM = 4
 #: Bytes between an entity and a cue that belongs to it.
 NEAR = 60
 ALIAS_FIELD, NO_ALIAS = "别名 / 英文名", ("无", "-", "待定")
@@ -51,12 +53,16 @@ def names(entities: DataFrame) -> DataFrame:
 def mentions(passages: DataFrame, named: DataFrame) -> DataFrame:
     """(passage_id, entity_id, name, count) of names that stand in a passage, with how often they do without overlap.
 
-    Passages and names meet by the name's first two characters, of which a
-    passage has each once; a name of one character meets by that one.
+    Passages and names meet by the name's first characters, GRAM of them or
+    all it has; a passage has each such gram once, and only grams of lengths
+    that names have are made.
     """
-    grams = F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("text") - 1, F.lit(1))), lambda i: F.col("text").substr(i, F.lit(2))), F.split("text", "")))
-    at = passages.select("passage_id", "text", F.explode(grams).alias("gram"))
-    wanted = named.select("entity_id", "name", F.substring("name", 1, 2).alias("gram"))
+    size = F.least(F.char_length("name"), F.lit(GRAM))
+    sizes = sorted(r[0] for r in named.select(size).distinct().collect())
+    # a lookahead finds all grams in one pass; substring() would count from the start for each
+    each = [F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), 1)) for n in sizes]
+    at = passages.select("passage_id", "text", F.explode(F.concat(*each) if each else F.array().cast("array<string>")).alias("gram"))
+    wanted = named.select("entity_id", "name", F.substring("name", 1, GRAM).alias("gram"))
     found = at.join(wanted, "gram").where(F.contains("text", F.col("name")))
     n = (F.char_length("text") - F.char_length(F.replace(F.col("text"), F.col("name"), F.lit("")))) / F.char_length("name")
     return found.select("passage_id", "entity_id", "name", n.cast("long").alias("count"))
