@@ -285,3 +285,20 @@ def _dense_pairs(few: DataFrame, other: DataFrame, rows: DataFrame, sets: DataFr
     other = other.withColumn("size", size_class(F.col("n_b")))
     fits = F.least("o", "o_b") * (100 + percent) >= percent * (F.col("n") + F.col("n_b"))
     return few.join(other, ["key", "size"]).where(open_pair & fits).select("id", "b").union(met)
+
+
+#: The query op1 in DuckDB's SQL: every pair of distinct sets with a common shingle is counted, on the shingles' own text.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+cut AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM cut),
+d AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS digest FROM s GROUP BY doc_id),
+class AS (SELECT digest, min(doc_id) AS id, any_value(n) AS n FROM d GROUP BY digest),
+own AS (SELECT id, n, s FROM class JOIN s ON s.doc_id = class.id),
+pair AS (SELECT x.id AS a, y.id AS b FROM own x JOIN own y ON x.s = y.s AND x.id < y.id AND 100 * x.n >= 85 * y.n AND 100 * y.n >= 85 * x.n GROUP BY x.id, y.id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+edge AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair),
+reach AS (SELECT id AS a, id AS b FROM class UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+part AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)
+SELECT doc_id, coalesce(d.n, 0)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN class USING (digest) LEFT JOIN part USING (id)
+"""

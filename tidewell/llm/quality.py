@@ -110,7 +110,7 @@ def judge(docs: DataFrame, references: tuple[Reference, ...] = REFERENCES, max_c
     names.  base_failed: under MIN_WORDS words, or over half of the words in
     repeated 3-word windows.  kept: not base_failed, and one reference is
     within max_class and, where the text has MIN_COMPARED words, within
-    max_words of its farthest, the distance of a text without a common word.  language is the nearest reference (the first of equals).  A
+    max_words of its farthest, the distance of a text without a common word.  language is the nearest reference (of those equal to nine digits the first by name).  A
     null text counts as empty and fails; repeated rows get equal results; an
     empty table gives none.
     """
@@ -119,7 +119,7 @@ def judge(docs: DataFrame, references: tuple[Reference, ...] = REFERENCES, max_c
     distances = []
     for r in references:
         of_classes, of_words = divergences(f["classes"], f["common"], f["n_words"], r)
-        distances.append(F.struct((of_classes / max_class + of_words / (max_words * r.farthest)).alias("sum"), F.lit(r.name).alias("name"), of_classes.alias("classes"), of_words.alias("words"), F.lit(max_words * r.farthest).alias("limit")))
+        distances.append(F.struct(F.round(of_classes / max_class + of_words / (max_words * r.farthest), 9).alias("sum"), F.lit(r.name).alias("name"), of_classes.alias("classes"), of_words.alias("words"), F.lit(max_words * r.farthest).alias("limit")))
     rated = rated.withColumn("__all", F.array(*distances)).withColumn("__d", F.array_min("__all"))
     failed = (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
     d = F.col("__d")
@@ -128,3 +128,42 @@ def judge(docs: DataFrame, references: tuple[Reference, ...] = REFERENCES, max_c
         "doc_id", *[f[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"), (~failed & near).alias("kept"),
         d["name"].alias("language"), d["classes"].alias("class_distance"), d["words"].alias("word_distance"),
     )
+
+
+def _sql() -> str:
+    """The query op7 in DuckDB's SQL, with REFERENCES as values."""
+    half = lambda x, y: f"CASE WHEN {x} > 0 THEN 0.5 * {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END"
+    classes = ", ".join(f"('{r.name}', {k}, {q!r}::DOUBLE)" for r in REFERENCES for k, q in enumerate(r.classes))
+    words = ", ".join(f"('{r.name}', '{w}', {q!r}::DOUBLE)" for r in REFERENCES for w, q in r.words.items())
+    names = ", ".join(f"('{r.name}', {1 - sum(r.words.values())!r}::DOUBLE, {MAX_WORDS * r.farthest!r}::DOUBLE)" for r in REFERENCES)
+    only = lambda c: f"length(regexp_replace(t, '[^{c}]', '', 'g'))"
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM t),
+tok AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM w),
+tri AS (SELECT r, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS g FROM tok WINDOW o AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM tri WHERE g IS NOT NULL) WHERE c > 1),
+again AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, (VALUES (0), (1), (2)) v(j) GROUP BY r),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM t) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+f AS (SELECT doc_id, r, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, {only("#*$%&|<>")} AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words,
+  {only("a-z")} AS c0, {only("A-Z")} AS c1, {only(chr(92) + "p{L}")} - c0 - c1 AS c2, {only("0-9")} AS c3, {only(".,;:!?'()" + chr(34) + chr(92) + "-").replace("'()", "''()")} AS c4, word_chars - c0 - c1 - c2 - c3 - c4 AS c5
+  FROM t JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN again USING (r)),
+share AS (SELECT r, unnest([c0, c1, c2, c3, c4, c5]) / greatest(word_chars, 1)::DOUBLE AS p, unnest(range(6)) AS k FROM f),
+dc AS (SELECT r, name, sqrt(greatest(sum({half("p", "q")} + {half("q", "p")}), 0)) AS classes FROM share JOIN (VALUES {classes}) c(name, k, q) USING (k) GROUP BY r, name),
+common AS (SELECT r, lower(w) AS w, count(*) AS n FROM tok GROUP BY ALL),
+n AS (VALUES {names}),
+ref AS (SELECT * FROM n AS x(name, rest, far)),
+own AS (SELECT r, name, sum(n) AS n, sum({half("p", "q")} + {half("q", "p")}) AS s, sum(q) AS seen
+  FROM (SELECT f.r, v.name, v.q, common.n, common.n / greatest(f.n_words, 1)::DOUBLE AS p FROM common JOIN f USING (r) JOIN (VALUES {words}) v(name, w, q) USING (w)) GROUP BY r, name),
+left_over AS (SELECT f.r, name, far, rest, coalesce(s, 0) AS s, 1 - coalesce(own.n, 0) / greatest(n_words, 1)::DOUBLE AS p, coalesce(seen, 0) AS seen FROM f CROSS JOIN ref LEFT JOIN own USING (r, name)),
+dw AS (SELECT r, name, far, sqrt(greatest(s + {half("p", "rest")} + {half("rest", "p")} + 0.5 * (1 - rest - seen), 0)) AS words FROM left_over),
+d AS (SELECT r, name, far, classes, words, round(classes / {MAX_CLASS} + words / far, 9) AS together FROM dc JOIN dw USING (r, name)),
+best AS (SELECT r, arg_min(name, (together, name)) AS language FROM d GROUP BY r),
+near AS (SELECT r, bool_or(classes <= {MAX_CLASS} AND (n_words < {MIN_COMPARED} OR words <= far)) AS near FROM d JOIN f USING (r) GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND near AS kept, language
+FROM f JOIN best USING (r) JOIN near USING (r)
+"""
+
+
+SQL = _sql()

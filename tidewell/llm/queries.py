@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, lm, packing, pii, quality, urls, warc
+from . import bpe, decontaminate, language, lm, near_dedup, packing, pii, quality, urls, warc
 from .common import table
-from .near_dedup import near_duplicates
 
 
 def vocabulary_file() -> str:
@@ -20,7 +19,7 @@ def vocabulary_file() -> str:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +65,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_near_dedup": op1_near_dedup, "op2_warc": op2_warc, "op3_pii": op3_pii, "op4_lm_scoring": op4_lm_scoring, "op5_packing": op5_packing, "op6_decontamination": op6_decontamination, "op7_quality": op7_quality, "op8_language": op8_language, "op9_urls": op9_urls, "op10_bpe": op10_bpe}
-ORACLE_SQL: dict[str, str] = {"op9_urls": urls.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": near_dedup.SQL, "op7_quality": quality.SQL, "op9_urls": urls.SQL}
