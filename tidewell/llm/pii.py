@@ -305,10 +305,10 @@ def _joined(spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more of each row of (doc_id, text).
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more, n_spans of each row of (doc_id, text).
 
-    The counts and base_sha256 are of the base spans; spans has those and the
-    field's n_more.  Offsets are code points, ends exclusive.  A null text
+    The counts by kind and base_sha256 are of the base spans; spans has those
+    and the field's n_more, n_spans together.  Offsets are code points, ends exclusive.  A null text
     counts as empty and has no spans; repeated rows get equal results; an
     empty table gives none; more columns are ignored, whatever their names.
     """
@@ -322,10 +322,10 @@ def find(docs: DataFrame) -> DataFrame:
             count = {f"n_{k}": pa.array([sum(s[2] == k for s in b) for b in base], pa.int64()) for k in KINDS}
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), **count, "base_sha256": [hashlib.sha256(_joined(b).encode()).hexdigest() for b in base],
-                "spans": [_joined(b + m) for b, m in zip(base, more, strict=True)], "n_more": pa.array([len(m) for m in more], pa.int64()),
+                "spans": [_joined(b + m) for b, m in zip(base, more, strict=True)], "n_more": pa.array([len(m) for m in more], pa.int64()), "n_spans": pa.array([len(b) + len(m) for b, m in zip(base, more, strict=True)], pa.int64()),
             })
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_more long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_more long, n_spans long")
 
 
 def redact(docs: DataFrame) -> DataFrame:
