@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import consistency_queries, memory_queries, operator_queries, text_queries  # noqa: F401
+from . import consistency_queries, craft_queries, memory_queries, operator_queries, text_queries  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "recall_fused"
