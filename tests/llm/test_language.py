@@ -12,8 +12,9 @@ def test_gradients(monkeypatch):
     monkeypatch.setattr(language, "UNITS", 3)
     rng = np.random.default_rng(0)
     params = [rng.normal(0, 0.5, s) for s in ((256, 9), (256, 9), (3, 9), (3, 9), (3, 2), (3, 2), (2,))]
-    rows, size, word = language.padded(np.frombuffer(b"abc de fghi ", np.uint8), np.array([0, 4, 7]), np.array([3, 6, 11]))
-    label = np.array([0, 1, 0])[word]
+    size = np.array([3, 2, 4])
+    rows = language.padded(np.frombuffer(b"abc de fghi ", np.uint8), np.array([0, 4, 7]), size)
+    label = np.array([0, 1, 0])
 
     def loss():
         net = language.Network(["x", "y"], params[0:2], params[2:4], params[4:6], params[6])
@@ -43,6 +44,36 @@ def test_gradients(monkeypatch):
             assert abs((up - down) / (2 * e) - g[at]) < 1e-3 * max(1, abs(g[at])) + 1e-4
 
 
+def by_hand(net, text):
+    """Probabilities of each position by one plain pass each way."""
+    states = []
+    for way in (0, 1):
+        h, out = np.zeros((1, net.recurrent[way].shape[0])), []
+        for b in text if not way else text[::-1]:
+            h = language._step(net.inputs[way][[b]], h, net.recurrent[way])[-1]
+            out.append(h[0])
+        states.append(out if not way else out[::-1])
+    p = np.exp(np.array([a @ net.output[0] + b @ net.output[1] + net.bias for a, b in zip(*states, strict=True)]))
+    return p / p.sum(1, keepdims=True)
+
+
+def test_documents_pool_all_positions(spark):
+    rng, k = np.random.default_rng(1), language.UNITS
+    net = language.Network(["a", "b", "c"], *[[rng.normal(0, 0.4, s) for _ in (0, 1)] for s in ((256, 3 * k), (k, 3 * k), (k, 3))], rng.normal(0, 0.4, 3))
+    texts = ["x", "Two words", "é" * 60, "the quick brown fox " * 11 + "!", "many more words than a window holds, " * 40]
+    rows = language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).orderBy("doc_id").collect()
+    for text, row in zip(texts, rows, strict=True):
+        data = text.encode().lower()
+        first, size, low, high, _ = language.windows(np.array([0]), np.array([len(data)]))
+        assert np.concatenate([np.arange(f + a, f + b) for f, a, b in zip(first, low, high, strict=True)]).tolist() == list(range(len(data)))
+        pooled = sum(by_hand(net, data[f : f + n])[a:b].sum(0) for f, n, a, b in zip(first, size, low, high, strict=True)) / len(data)
+        assert row["lang_pred"] == net.languages[int(pooled.argmax())] and abs(row["score"] - pooled.max()) < 1e-3
+        if len(data) <= language.CORE:
+            assert len(first) == 1 and size[0] == len(data)
+        else:
+            assert np.abs(by_hand(net, data).mean(0) - pooled).max() < 0.01  # what a pass without windows gives
+
+
 def test_held_out_accuracy(spark):
     rows = op8_language(spark, "/root/testdata/sf0.01").collect()
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}

@@ -1,10 +1,11 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of one word (lower-cased in A-Z) in both
-directions and gives each position probabilities of the languages; a document
-pools the mean over all positions of its words.  Since the state starts anew
-at each word, a word that occurs again in a batch of texts needs no second
-reading.  Words of more than SEGMENT bytes are read in segments.  Weights are
+The network reads the bytes of a text (lower-cased in A-Z), white space among
+them, in both directions and gives each position probabilities of the
+languages; a document pools the mean over all its positions.  Texts of more
+than CORE bytes are read in windows: each labels CORE positions of its own and
+reads CONTEXT bytes more on either side, so every position is labelled once
+and by states that have read so many bytes before and behind it.  Weights are
 learnt in numpy by backpropagation through time.
 """
 
@@ -21,15 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import bytes_of, pieces, texts_of
-from .shingles import spans
 
-#: Units of each direction, bytes of a segment, and segments read at once.
-UNITS, SEGMENT, AT_ONCE = 16, 24, 8192
-#: Bytes of text whose distinct words are read together.
+#: Units of each direction, positions that a window labels, bytes that it reads on either side of them, and windows read at once.
+UNITS, CORE, CONTEXT, AT_ONCE = 16, 224, 32, 2048
+#: Bytes of texts that are read together.
 TOGETHER = 2 << 20
-#: The bounded sample that the network learns from: about so many texts of each language, and so many words of those.
-SAMPLE_TEXTS, SAMPLE_WORDS, MOST_LANGUAGES = 300, 20_000, 256
-STEPS, BATCH, RATE = 500, 512, 0.01
+#: The bounded sample that the network learns from: about so many texts of each language, and so many stretches of so many characters of each text.
+SAMPLE_TEXTS, STRETCHES, STRETCH, MOST_LANGUAGES = 300, 16, 64, 256
+STEPS, BATCH, RATE = 300, 192, 0.02
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -45,17 +45,21 @@ class Network:
     bias: np.ndarray
 
 
-def padded(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of the words as rows of bytes, their lengths, and the word of each."""
-    many = np.maximum(1, -(-(end - start) // SEGMENT))
-    word = np.repeat(np.arange(len(start)), many)
-    first = start[word] + SEGMENT * (np.arange(len(word)) - np.repeat(np.cumsum(many) - many, many))
-    size = np.minimum(end[word] - first, SEGMENT)
-    rows = np.full((len(first), SEGMENT), 32, np.uint8)
-    for i in range(SEGMENT):
-        on = size > i
-        rows[on, i] = data[first[on] + i]
-    return rows, size, word
+def windows(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First byte, bytes, first labelled position, position behind the last labelled one, and text of each window of texts between start and end."""
+    many = -(-(end - start) // CORE)
+    text = np.repeat(np.arange(len(start)), many)
+    own = start[text] + CORE * (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many))
+    to = np.minimum(own + CORE, end[text])
+    first = np.maximum(own - CONTEXT, start[text])
+    return first, np.minimum(to + CONTEXT, end[text]) - first, own - first, to - first, text
+
+
+def padded(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rows of size bytes from first, blanks behind them."""
+    at = np.arange(int(size.max()) if len(size) else 0)
+    rows = data[np.minimum(first[:, None] + at, max(0, len(data) - 1))]
+    return np.where(at < size[:, None], rows, np.uint8(32))
 
 
 def _flip(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -73,19 +77,20 @@ def _step(x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]
     return z, r, n, gn, n + z * (h - n)
 
 
-def probabilities(net: Network, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The sum over its positions of each segment's probabilities."""
-    out = np.zeros((len(rows), len(net.languages)), np.float32)
+def probabilities(net: Network, data: np.ndarray, first: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The sum over the labelled positions (from low on, below high) of each window's probabilities."""
+    out = np.zeros((len(size), len(net.languages)), np.float32)
     order = np.argsort(-size, kind="stable")
-    for at in range(0, len(rows), AT_ONCE):
+    for at in range(0, len(order), AT_ONCE):
         some = order[at : at + AT_ONCE]
         length = size[some]
+        rows = padded(data, first[some], length)
         longest = int(length[0])
         active = np.searchsorted(-length, -np.arange(1, longest + 1), side="right")
         logits = np.zeros((longest, len(some), len(net.languages)), np.float32)
         logits += net.bias
         for way in (0, 1):
-            text = rows[some] if not way else _flip(rows[some], length)
+            text = rows if not way else _flip(rows, length)
             h = np.zeros((len(some), UNITS), np.float32)
             for t in range(longest):
                 m = active[t]
@@ -98,27 +103,25 @@ def probabilities(net: Network, rows: np.ndarray, size: np.ndarray) -> np.ndarra
         logits -= logits.max(2, keepdims=True)
         np.exp(logits, out=logits)
         logits /= logits.sum(2, keepdims=True)
-        logits *= (np.arange(longest)[:, None] < length)[:, :, None]
+        place = np.arange(longest)[:, None]
+        logits *= ((place >= low[some]) & (place < high[some]))[:, :, None]
         out[some] = logits.sum(0)
     return out
 
 
-def train(words: list[bytes], labels: np.ndarray, languages: list[str], seed: int = 5) -> Network:
-    """Learn from words and the number of each word's language, by Adam on the cross entropy of all positions."""
+def train(stretches: list[bytes], labels: np.ndarray, languages: list[str], seed: int = 5) -> Network:
+    """Learn from stretches of text and the number of each one's language, by Adam on the cross entropy of all positions."""
     rng = np.random.default_rng(seed)
     k, classes = UNITS, max(1, len(languages))
     params = [rng.normal(0, 0.3, (256, 3 * k)) for _ in (0, 1)] + [rng.normal(0, k**-0.5, (k, 3 * k)) for _ in (0, 1)] + [rng.normal(0, k**-0.5, (k, classes)) for _ in (0, 1)] + [np.zeros(classes)]
     params = [p.astype(np.float32) for p in params]
-    if words:
-        data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-        size = np.fromiter(map(len, words), np.int64)
-        start = np.cumsum(size + 1) - size - 1
-        rows, length, word = padded(data, start, start + size)
-        label = labels[word]
+    if stretches:
+        length = np.fromiter(map(len, stretches), np.int64)
+        rows = padded(np.frombuffer(b"".join(stretches), np.uint8), np.cumsum(length) - length, length)
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for step in range(1, STEPS + 1):
             some = rng.integers(0, len(rows), BATCH)
-            grads = _gradients(params, rows[some], length[some], label[some], classes)
+            grads = _gradients(params, rows[some], length[some], labels[some], classes)
             rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
             for p, g, a, b in zip(params, grads, m, v, strict=True):
                 a += 0.1 * (g - a)
@@ -178,7 +181,9 @@ def learn(labelled: DataFrame) -> Network:
     """Learn from a bounded sample of the (doc_id, text, lang) of labelled with text and lang.
 
     Of each of the MOST_LANGUAGES most frequent languages about SAMPLE_TEXTS
-    texts go in, chosen by the hash of doc_id, and SAMPLE_WORDS of their words.
+    texts go in, chosen by the hash of doc_id, with STRETCHES stretches of
+    STRETCH characters each, at hashed places of the whole text; that bounds
+    the bytes that reach the driver.  Every language has the same weight.
     """
     labelled = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
@@ -188,20 +193,18 @@ def learn(labelled: DataFrame) -> Network:
     chosen = F.lit(False)
     for r in counts:
         chosen = chosen | ((F.col("lang") == r["lang"]) & (place < int((1 << 30) * min(1.0, SAMPLE_TEXTS / r["n"]))))
-    rng = np.random.default_rng(3)
+    place_of = lambda i: 1 + F.pmod(F.xxhash64("doc_id", i), F.greatest(F.lit(1), F.char_length("text") - STRETCH + 1))
+    cut = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda i: F.substr("text", place_of(i).cast("int"), F.lit(STRETCH)))
     own: dict[str, list[bytes]] = {x: [] for x in languages}
-    for row in labelled.where(chosen).select("doc_id", "text", "lang").orderBy(place, "doc_id").limit(2 * SAMPLE_TEXTS * max(1, len(counts))).toLocalIterator():
-        data, start, end, _, _ = spans([row["text"].encode()])
-        raw = data.tobytes()
-        own[row["lang"]] += [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-    words, labels = [], []
+    for row in labelled.where(chosen).select("doc_id", "lang", place.alias("place"), cut.alias("cut")).orderBy("place", "doc_id").limit(2 * SAMPLE_TEXTS * max(1, len(counts))).toLocalIterator():
+        own[row["lang"]] += [x for x in (c.encode().lower()[:STRETCH] for c in row["cut"]) if x]
+    most = max(map(len, own.values()), default=0)
+    stretches, labels = [], []
     for lang, found in own.items():
-        some = [found[i] for i in rng.permutation(len(found))[:SAMPLE_WORDS]]
-        if some:
-            some = (some * -(-SAMPLE_WORDS // len(some)))[:SAMPLE_WORDS]
-        words += some
-        labels += [number[lang]] * len(some)
-    return train(words, np.array(labels, np.int64), languages)
+        if found:
+            stretches += (found * -(-most // len(found)))[:most]
+            labels += [number[lang]] * most
+    return train(stretches, np.array(labels, np.int64), languages)
 
 
 def identify(docs: DataFrame, network: Network) -> DataFrame:
@@ -210,7 +213,7 @@ def identify(docs: DataFrame, network: Network) -> DataFrame:
     lang_pred is ``und`` and score 0 where text is null or has no letter, or
     where the network knows no language.  Ties go to the language first by
     name.  Repeated rows get equal predictions; an empty table stays empty.
-    All words of the whole text are read; nothing but the text is an input.
+    All bytes of the whole text are read; nothing but the text is an input.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
@@ -219,16 +222,14 @@ def identify(docs: DataFrame, network: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in pieces(batches, "text", TOGETHER):
-            data, start, end, h, many = spans(bytes_of(batch.column("text")))
-            pooled, places = np.zeros((batch.num_rows, max(1, len(net.languages)))), np.zeros(batch.num_rows)
-            if len(h) and net.languages:
-                _, first, which = np.unique(h, return_index=True, return_inverse=True)
-                rows, size, word = padded(data, start[first], end[first])
-                each = probabilities(net, rows, size)
-                of_word = np.stack([np.bincount(word, each[:, c], len(first)) for c in range(each.shape[1])], 1)
-                doc = np.repeat(np.arange(batch.num_rows), many)
-                pooled = np.stack([np.bincount(doc, of_word[which, c], batch.num_rows) for c in range(each.shape[1])], 1)
-                places = np.bincount(doc, end - start, batch.num_rows)
+            texts = bytes_of(batch.column("text"))
+            places = np.fromiter(map(len, texts), np.int64, len(texts))
+            end = np.cumsum(places)
+            pooled = np.zeros((batch.num_rows, max(1, len(net.languages))))
+            if places.any() and net.languages:
+                first, size, low, high, text = windows(end - places, end)
+                each = probabilities(net, np.frombuffer(b"".join(texts).lower(), np.uint8), first, size, low, high)
+                pooled = np.stack([np.bincount(text, each[:, c], batch.num_rows) for c in range(each.shape[1])], 1)
             known = np.array([bool(net.languages) and bool(_LETTER.search(x)) for x in texts_of(batch.column("text"))], bool) & (places > 0)
             best = pooled.argmax(1)
             score = np.where(known, np.clip(pooled[np.arange(batch.num_rows), best] / np.maximum(places, 1), 0, 1), 0.0)
