@@ -4,6 +4,7 @@ import random
 
 from tidewell.llm import decontaminate
 from tidewell.llm.decontaminate import clean, contaminated
+from tidewell.llm.shingles import word_hashes
 
 from .conftest import WORD, lower
 
@@ -115,3 +116,12 @@ def test_substitutions_and_short_items(spark):
     assert got == want and len(want) >= len(docs)
     assert {(x, x % len(sizes)) for x, _ in docs} <= got
     assert {r["doc_id"] for r in clean(d, b, whole=True).collect()} == {x for x, _ in docs} - {x for x, _ in want}
+
+
+def test_repeated_words_in_bounded_memory(monkeypatch):
+    block = decontaminate.Block([1, 2], [b"so " * 300, b"one two three four five six seven eight nine ten eleven twelve"], whole=True)
+    texts = [b"so " * 3000 + b"end", b"x one two three four five six seven eight nine ten eleven twelve y", b""]
+    whole = decontaminate.overlaps(block, *word_hashes(texts))
+    assert [x[:2] for x in whole] == [(0, 0), (1, 1)] and whole[0][4] == 300 and whole[1][2:] == (1, 13, 12)
+    monkeypatch.setattr(decontaminate, "HITS", 1000)
+    assert decontaminate.overlaps(block, *word_hashes(texts)) == whole

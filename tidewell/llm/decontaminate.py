@@ -12,7 +12,7 @@ is shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 from math import ceil
 
 import numpy as np
@@ -29,6 +29,8 @@ MASKS = ("1110111", "11011011", "1111011", "11111011")
 MORE_MASKS = ("11111",)
 #: Words of a benchmark block that goes to the tasks at once.
 BLOCK = 1 << 20
+#: Hits of one mask that are held at once: a word that a text and an item both repeat makes as many as the product.
+HITS = 1 << 20
 #: A stretch counts with so many agreeing words at least, or all words of an item that is shorter, and this share of agreement.
 LEAST_WORDS, LEAST_SHARE = 12, 0.8
 _FACTORS = np.random.default_rng(29).integers(0, 2**64, 16, dtype=U64) | U64(1)
@@ -111,12 +113,15 @@ def overlaps(block: Block, words: np.ndarray, offsets: np.ndarray) -> list[tuple
         at = np.flatnonzero(marks[(s >> U64(48)).astype(np.int64)]) if len(h) else np.zeros(0, np.int64)
         lo, hi = np.searchsorted(h, s[at]), np.searchsorted(h, s[at], side="right")
         at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at, place = np.repeat(at, n), places[which]
-        same = text_of(at) == text_of(at + len(mask) - 1)
-        at, place = at[same], place[same]
-        item = block.item(place)
-        shifts.append(np.stack((text_of(at), item, at - (place - block.offsets[item])), 1))
+        until = np.cumsum(n)
+        for a, b in pairwise(np.unique(np.concatenate(([0], np.searchsorted(until, np.arange(HITS, int(n.sum()), HITS)), [len(n)]))).tolist()):
+            m = n[a:b]
+            which = np.repeat(lo[a:b], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            where, place = np.repeat(at[a:b], m), places[which]
+            same = text_of(where) == text_of(where + len(mask) - 1)
+            where, place = where[same], place[same]
+            item = block.item(place)
+            shifts.append(np.unique(np.stack((text_of(where), item, where - (place - block.offsets[item])), 1), axis=0))
     if not shifts:
         return []
     for text, item, shift in np.unique(np.concatenate(shifts), axis=0).tolist():
