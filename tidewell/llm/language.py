@@ -24,7 +24,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import bytes_of, pieces, texts_of
 
 #: Units of each direction, positions that a window labels, bytes that it reads on either side of them, and windows read at once.
-UNITS, CORE, CONTEXT, AT_ONCE = 16, 224, 32, 2048
+UNITS, CORE, CONTEXT, AT_ONCE = 16, 480, 32, 2048
 #: Bytes of texts that are read together.
 TOGETHER = 2 << 20
 #: The bounded sample that the network learns from: about so many texts of each language, and so many stretches of so many characters of each text.
