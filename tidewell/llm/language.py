@@ -77,35 +77,62 @@ def _step(x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]
     return z, r, n, gn, n + z * (h - n)
 
 
+def _pass(net: Network, way: int, text: np.ndarray, active: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each position, forwards or (way 1) backwards, with what the states of the windows (columns) that have it add to the languages' logits (rows).
+
+    text: the bytes of each position (rows); active: how many windows have it.
+    The windows are ordered by falling length, so those that have a position
+    are the first ones.  A unit is a row, and the halves of the sigmoids stand
+    in the weights, which is exact: each line below works on whole rows.
+    """
+    k, most = UNITS, text.shape[1]
+    half = np.repeat(np.float32([0.5, 0.5, 1.0]), k)[:, None]
+    inputs = np.ascontiguousarray(net.inputs[way].T.astype(np.float32) * half)
+    recurrent = np.ascontiguousarray(net.recurrent[way].T, np.float32) * np.float32(0.5)
+    output = np.ascontiguousarray(net.output[way].T, np.float32)
+    h, x_all, g_all = np.zeros((k, most), np.float32), np.empty(3 * k * most, np.float32), np.empty(3 * k * most, np.float32)
+    for t in range(len(text)) if not way else reversed(range(len(text))):
+        m = active[t]
+        x, g, now = x_all[: 3 * k * m].reshape(3 * k, m), g_all[: 3 * k * m].reshape(3 * k, m), h[:, :m]
+        np.take(inputs, text[t, :m], 1, out=x, mode="clip")
+        np.matmul(recurrent, now, out=g)
+        gates, n = g[: 2 * k], g[2 * k :]
+        gates += x[: 2 * k]
+        np.tanh(gates, out=gates)
+        gates += 1  # twice the sigmoid
+        n *= gates[k:]
+        n += x[2 * k :]
+        np.tanh(n, out=n)
+        z = gates[:k]
+        z *= 0.5
+        now -= n
+        now *= z
+        now += n
+        yield t, output @ now
+
+
 def probabilities(net: Network, data: np.ndarray, first: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """The sum over the labelled positions (from low on, below high) of each window's probabilities."""
     out = np.zeros((len(size), len(net.languages)), np.float32)
+    bias = np.asarray(net.bias, np.float32)[:, None]
     order = np.argsort(-size, kind="stable")
     for at in range(0, len(order), AT_ONCE):
         some = order[at : at + AT_ONCE]
-        length = size[some]
-        rows = padded(data, first[some], length)
-        longest = int(length[0])
-        active = np.searchsorted(-length, -np.arange(1, longest + 1), side="right")
-        logits = np.zeros((longest, len(some), len(net.languages)), np.float32)
-        logits += net.bias
-        for way in (0, 1):
-            text = rows if not way else _flip(rows, length)
-            h = np.zeros((len(some), UNITS), np.float32)
-            for t in range(longest):
-                m = active[t]
-                h = _step(net.inputs[way][text[:m, t]], h[:m], net.recurrent[way])[-1]
-                y = h @ net.output[way]
-                if way:
-                    logits[length[:m] - 1 - t, np.arange(m)] += y
-                else:
-                    logits[t, :m] += y
-        logits -= logits.max(2, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(2, keepdims=True)
-        place = np.arange(longest)[:, None]
-        logits *= ((place >= low[some]) & (place < high[some]))[:, :, None]
-        out[some] = logits.sum(0)
+        length, starts, ends = size[some], low[some], high[some]
+        text = np.ascontiguousarray(padded(data, first[some], length).T)
+        active = np.searchsorted(-length, -np.arange(1, len(text) + 1), side="right")
+        logits = np.empty((len(text), len(net.languages), len(some)), np.float32)
+        for t, y in _pass(net, 0, text, active):
+            np.add(y, bias, out=logits[t, :, : active[t]])
+        pooled = np.zeros(logits.shape[1:], np.float32)
+        for t, p in _pass(net, 1, text, active):
+            m = active[t]
+            p += logits[t, :, :m]
+            p -= p.max(0)
+            np.exp(p, out=p)
+            p *= ((starts[:m] <= t) & (t < ends[:m])) / p.sum(0)
+            pooled[:, :m] += p
+        out[some] = pooled.T
     return out
 
 
