@@ -42,6 +42,21 @@ def test_cards(spark):
     assert craft.find_cards(wanted.limit(0), cards).collect() == []
 
 
+def test_cards_with_common_beginnings(spark):
+    """Names and titles that begin alike are no pairs to try, and equal titles stand for their first card."""
+    cards = spark.range(20_000).select(F.col("id").alias("idx"), F.concat(F.lit("c"), F.col("id")).alias("card_id"), F.concat(F.lit("The Tower "), F.lpad((F.col("id") % 15_000).cast("string"), 5, "0"), F.lit("!")).alias("title"), F.lit(None).cast("array<string>").alias("aliases"))
+    wanted = spark.range(20_000).select(F.concat(F.lit("The Tower "), F.lpad(F.col("id").cast("string"), 5, "0")).alias("name"))
+    found = craft.find_cards(wanted, cards)
+    assert {r["name"]: r["card_id"] for r in found.collect()} == {f"The Tower {i:05}": f"c{i}" for i in range(15_000)}
+    assert "contains" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_cards_with_wide_characters(spark):
+    cards = spark.createDataFrame([(1, "c1", "x😀y😀", ["a\nb", "?z"]), (2, "c2", "😀z", None)], "idx int, card_id string, title string, aliases array<string>")
+    wanted = spark.createDataFrame([(x,) for x in ("😀y", "y😀", "😀", "\nb", "z", "?y", "?", "x😀y😀", "x😀y😀x")], "name string")
+    assert {r["name"]: r["card_id"] for r in craft.find_cards(wanted, cards).collect()} == {"😀y": "c1", "y😀": "c1", "😀": "c1", "\nb": "c1", "z": "c1", "?": "c1", "x😀y😀": "c1"}
+
+
 def test_lines_and_dialogue(spark):
     raw = "# head\n\n- a `b`\n | --- | \n  * x **c** d \r\n- "
     assert values(spark, craft.clean_lines(text(raw), "^#"), craft.clean_lines(text(None), "^#")) == ("a b\nx c d", "")

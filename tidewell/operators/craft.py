@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..functions import text as T
-from .index import mentions
 
 #: Fixed value: ticks of one story beat.
 TICK_SCALE = 1000
@@ -89,19 +88,31 @@ def arm_text(keywords: Column) -> Column:
     return F.concat_ws(", ", keywords)
 
 
+def _runs(text: Column, sizes: list[int]) -> Column:
+    """Distinct runs of so many characters; none starts within a surrogate pair."""
+    each = [F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=([^\uDC00-\uDFFF].{{{n - 1}}}))"), 1)) for n in sizes]
+    return F.concat(*each) if each else F.array().cast("array<string>")
+
+
 def find_cards(wanted: DataFrame, cards: DataFrame) -> DataFrame:
     """name, card_id of each distinct non-empty name of wanted and the first card (by idx) that it means; names without one are left out.
 
     cards: idx, card_id, title, aliases.  A card whose title, id or alias is
-    the name comes first, then one whose title or alias contains it; these meet
-    by the name's first characters, so no pair of all is made.
+    the name comes first, then one whose title or alias contains it.  Equal
+    titles and aliases count once, for their first card; names that no card
+    is are met whole by the labels' runs of as many characters, each for its
+    first card, so no pairs of names and labels are tried.
     """
     names = wanted.where("name <> ''").select("name").distinct()
-    labels = cards.select("idx", "card_id", F.explode(F.concat(F.array(F.col("title")), F.coalesce("aliases", F.array().cast("array<string>")))).alias("label")).where("label is not null")
-    exact = labels.union(cards.select("idx", "card_id", F.col("card_id").alias("label"))).withColumnRenamed("label", "name").join(names, "name").select("name", "idx", "card_id", F.lit(0).alias("way"))
-    inside = mentions(labels.select(F.struct("idx", "card_id").alias("passage_id"), F.col("label").alias("text")), names.select(F.col("name").alias("entity_id"), "name"))
-    found = exact.union(inside.select("name", "passage_id.idx", "passage_id.card_id", F.lit(1)))
-    return found.groupBy("name").agg(F.min_by("card_id", F.struct("way", "idx")).alias("card_id"))
+    cards = cards.withColumn("card", F.struct("idx", "card_id"))
+    labels = cards.select("card", F.explode(F.concat(F.array(F.col("title")), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name is not null")
+    labels = labels.groupBy("name").agg(F.min("card").alias("card"))
+    known = labels.union(cards.select(F.col("card_id").alias("name"), "card")).groupBy("name").agg(F.min("card").alias("card"))
+    met = names.join(known, "name", "left")
+    left = met.where("card IS NULL").select("name")
+    sizes = sorted(r[0] for r in left.select(F.char_length("name")).distinct().collect())
+    runs = labels.select("card", F.explode(_runs(F.col("name"), sizes)).alias("name")).groupBy("name").agg(F.min("card").alias("card"))
+    return met.where("card IS NOT NULL").select("name", "card.card_id").union(left.join(runs, "name").select("name", "card.card_id"))
 
 
 def clean_lines(text: Column, noise: str, table: str = TABLE_LINE, bullet: str = BULLET, code: str = BACKTICKS, bold: str = BOLD) -> Column:
