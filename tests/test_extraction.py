@@ -68,6 +68,40 @@ def test_merges(spark):
     assert E.entity_vectors(E.merge_entities(entities, stored)).where("entity_name = 'A'").first()["content"].startswith("A\nold")
 
 
+def test_records_are_parsed_once(spark):
+    """A merge reads what the parser gives once, and moves it once; no field is normalised again by a filter."""
+    entities, relations = E.parse(chunks(spark, f"entity{D}A{D}city{D}one", f"relation{D}A{D}B{D}x{D}d"))
+    stored = spark.createDataFrame([], "entity_name string, entity_type string, description string, source_id string, file_path string, created_at long")
+    was = spark.createDataFrame([], "src string, tgt string, weight double, source_id string, description string, keywords string")
+    for merged in (E.merge_entities(entities, stored), E.merge_relations(relations, was)):
+        plan = merged._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate posexplode") == 1 and plan.count("RepartitionByExpression") == 1
+
+
+def test_merges_of_odd_records(spark):
+    """Late times, equal descriptions under several types, null fields; weights of stored and new sources."""
+    rows = [("A", "x", "d1", 0, 1, "s1", "f1", 9), ("A", "y", "d1", 0, 0, "s0", "f0", 20), ("A", "x", "d2", 1, 0, "s1", None, 10), ("A", "y", None, 2, 0, "s2", "f0", 0), ("A", None, "", 3, 0, None, "f2", None), ("B", None, "b", 0, 0, "s", "f", 1)]
+    records = spark.createDataFrame(rows, "entity_name string, entity_type string, description string, seq long, pos int, source_id string, file_path string, timestamp long")
+    none = spark.createDataFrame([], "entity_name string, entity_type string, description string, source_id string, file_path string, created_at long")
+    got = E.merge_entities(records, none).collect()
+    assert [tuple(r) for r in got] == [("A", "y", "d2<SEP>d1", "s0<SEP>s1<SEP>s2", "f0<SEP>f1<SEP>f2", 20, 2)]
+    assert E.merge_entities(records, spark.createDataFrame([("A", "x", None, None, None, None), ("Z", "z", "z", "z", "z", 1)], none.schema)).first()["entity_type"] == "x"
+    known = spark.createDataFrame([("A", "B", 2.0, "s3<SEP>s1<SEP>s1", "", None), ("A", "C", 1.0, "", None, "k")], "src string, tgt string, weight double, source_id string, description string, keywords string")
+    new = [("A", t, w, f"s{i % 5}" if i < 9 else None, "d", "k", i, 0, 1) for t in "BC" for i, w in enumerate([0.5, 8.0, 0.25, 8.0, 0.5, 1.0, 8.0, 2.0, 8.0, 4.0])]
+    records = spark.createDataFrame(new, "src string, tgt string, weight double, source_id string, description string, keywords string, seq long, pos int, timestamp long")
+    assert {r["tgt"]: (r["weight"], r["source_id"]) for r in E.merge_relations(records, known).collect()} == {"B": (10.25, "s0<SEP>s1<SEP>s2<SEP>s3<SEP>s4"), "C": (41.25, "s0<SEP>s1<SEP>s2<SEP>s3<SEP>s4")}
+
+
+def test_plain_values_stay(spark):
+    """The short way of normalisation and of markers gives what the long one does."""
+    given = ["A b", "a.b/c", "Ab-", "a  b", "a\n", "a;b", "12", "1.2", "a12", "a\u2028", "a \u2028", "\u00a0a", "x &amp; y", "“a”", "日 a", "", " ", "a'日", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(given)], "i int, v string").repartition(2)
+    got = [r["n"] for r in df.select("i", X.normalized(F.col("v"), True).alias("n")).orderBy("i").collect()]
+    assert got == ["A b", "a.b/c", "Ab-", "a  b", "a", "a;b", "", "", "a12", "a\u2028", "a\u2028", "a", "x & y", "a", "日a", "", "", "a日", None]
+    parts = [r["p"] for r in df.select("i", T.split_markers(F.col("v"), ("&", ";")).alias("p")).orderBy("i").collect()]
+    assert parts[3:6] == [["a  b"], ["a"], ["a", "b"]] and parts[9:13] == [["a\u2028"], ["a\u2028"], ["\u00a0a"], ["x", "amp", "y"]] and parts[15:17] == [[], []] and parts[18] is None
+
+
 def test_purge_and_cache(spark):
     entities, _ = E.parse(chunks(spark, f"entity{D}A{D}city{D}one\nentity{D}B{D}city{D}b", f"entity{D}A{D}town{D}two", f"entity{D}C{D}town{D}c"))
     stored = E.merge_entities(entities, spark.createDataFrame([], "entity_name string, entity_type string, description string, source_id string, file_path string, created_at long")).drop("n_fragments")

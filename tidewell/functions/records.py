@@ -23,6 +23,8 @@ _HAN = "一-龥"
 _NEAR = r"a-zA-Z0-9()\[\]@#$%!&*\-=+_"
 _WIDE = "".join(map(chr, [*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B), *range(0xFF10, 0xFF1A)])) + "—－＋／＊（）　"
 _PLAIN = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(48, 58)])) + "--+/*() "
+#: A letter, then letters, digits, blanks and marks, at last a letter or digit: what normalisation leaves as it is.
+_BARE = r"^[A-Za-z](?:[A-Za-z0-9 _.,:;/-]*[A-Za-z0-9])?\z"
 
 
 def normalized(value: Column, inner_quotes: bool = False) -> Column:
@@ -39,7 +41,8 @@ def normalized(value: Column, inner_quotes: bool = False) -> Column:
     if inner_quotes:
         out = F.translate(F.translate(out, "“”‘’", ""), "  ", "  ")
         out = F.regexp_replace(out, rf"""['"]+(?=[{_HAN}])|(?<=[{_HAN}])['"]+""", "")
-    return F.regexp_replace(T.trimmed(out), r"^(?:[0-9]{0,2}|(?=[0-9.]*\.)[0-9.]{1,5})$", "")
+    out = F.regexp_replace(T.trimmed(out), r"^(?:[0-9]{0,2}|(?=[0-9.]*\.)[0-9.]{1,5})$", "")
+    return F.when(F.rlike(value, F.lit(_BARE)), value).otherwise(out)
 
 
 def entity_type(raw: Column) -> Column:

@@ -68,8 +68,12 @@ def overlap(query: Column, found: Column) -> Column:
 def split_markers(text: Column, markers: tuple[str, ...]) -> Column:
     """Trimmed non-empty pieces between any of the literal markers."""
     import re
+    from functools import reduce
 
-    return F.filter(F.transform(F.split(text, "|".join(map(re.escape, markers))), trimmed), lambda p: p != "")
+    # split() compiles its pattern for each text, so only texts with a marker go there; most pieces have nothing to trim
+    marked = reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in markers])
+    pieces = F.when(marked, F.split(text, "|".join(map(re.escape, markers)))).when(text.isNotNull(), F.array(text))
+    return F.filter(F.transform(pieces, lambda p: F.when(F.rlike(p, F.lit(r"(?s)^[!-~](?:.*[!-~])?\z")), p).otherwise(trimmed(p))), lambda p: p != "")
 
 
 def folded_space(text: Column) -> Column:

@@ -5,6 +5,8 @@ Chunks are (chunk_id, raw, file_path, timestamp, seq); seq orders them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,16 +22,19 @@ def parse(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     An entity has four fields and a name and type that stay after
     normalisation; a relation has five, two different names and a description.
     """
-    rows = chunks.select("chunk_id", "file_path", "timestamp", "seq", F.posexplode(X.rows(F.col("raw"))).alias("pos", "row"))
-    rows = rows.select("*", X.attributes(F.col("row")).alias("a")).drop("row")
-    at = lambda i: F.get("a", F.lit(i))
-    keep = ["seq", "pos", F.col("chunk_id").alias("source_id"), "file_path", "timestamp"]
-    entity = (F.size("a") == 4) & F.contains(at(0), F.lit("entity"))
-    entities = rows.where(entity).select(X.normalized(at(1), True).alias("entity_name"), X.entity_type(X.normalized(at(2), True)).alias("entity_type"), X.normalized(at(3)).alias("description"), *keep)
+    fields = F.transform(X.rows(F.col("raw")), X.attributes)
+    at = lambda a, i: F.get(a, F.lit(i))
+
+    def records(size: int, mark: str, **made: Callable[[Column], Column]) -> DataFrame:
+        # fields are made within the array, once for each row: filters on columns would make them again
+        one = lambda a: F.when((F.size(a) == size) & F.contains(at(a, 0), F.lit(mark)), F.struct(*[f(a).alias(k) for k, f in made.items()]))
+        found = chunks.select("seq", F.col("chunk_id").alias("source_id"), "file_path", "timestamp", F.posexplode(F.transform(fields, one)).alias("pos", "x")).where("x IS NOT NULL")
+        return found.select("x.*", "seq", "pos", "source_id", "file_path", "timestamp")
+
+    entities = records(4, "entity", entity_name=lambda a: X.normalized(at(a, 1), True), entity_type=lambda a: F.get(F.transform(F.array(X.normalized(at(a, 2), True)), X.entity_type), F.lit(0)), description=lambda a: X.normalized(at(a, 3)))
     entities = entities.where("entity_name <> '' AND entity_type IS NOT NULL")
-    relation = (F.size("a") == 5) & F.contains(at(0), F.lit("relation"))
-    relations = rows.where(relation).select(X.normalized(at(1), True).alias("src"), X.normalized(at(2), True).alias("tgt"), F.replace(X.normalized(at(3), True), F.lit("，"), F.lit(",")).alias("keywords"), X.normalized(at(4)).alias("description"), F.lit(1.0).alias("weight"), *keep)
-    relations = relations.where("src <> '' AND tgt <> '' AND src <> tgt AND trim(description) <> ''")
+    relations = records(5, "relation", src=lambda a: X.normalized(at(a, 1), True), tgt=lambda a: X.normalized(at(a, 2), True), keywords=lambda a: F.replace(X.normalized(at(a, 3), True), F.lit("，"), F.lit(",")), description=lambda a: X.normalized(at(a, 4)))
+    relations = relations.where("src <> '' AND tgt <> '' AND src <> tgt AND trim(description) <> ''").withColumn("weight", F.lit(1.0))
     return entities, relations.withColumns({"src": F.least("src", "tgt"), "tgt": F.greatest("src", "tgt")})
 
 
@@ -39,14 +44,53 @@ def _in_order(value: str | Column, *order: str | Column) -> Column:
     return F.array_distinct(F.transform(F.array_sort(F.collect_list(named)), lambda x: x["v"]))
 
 
-def _split(joined: Column) -> Column:
-    return F.filter(F.split(F.coalesce(joined, F.lit("")), X.SEP), lambda x: x != "")
+def _by_description(records: DataFrame, keys: list[str], *lists: Column, among: tuple[str, ...] = ()) -> DataFrame:
+    """Groups by the keys, among and the description: f, the first (seq, pos, timestamp), s, the sources with their places, and lists.
+
+    All rows of a key come to one partition, so later groups by fewer columns
+    move nothing more and what made the records runs once.
+    """
+    first, sources = F.min(F.struct("seq", "pos", "timestamp")).alias("f"), F.collect_list(F.struct("seq", "pos", "source_id", *[x for x in ("weight",) if x in records.columns])).alias("s")
+    return records.repartition(*keys).groupBy(*keys, *among, "description").agg(first, sources, *lists)
+
+
+def _descriptions() -> Column:
+    """New descriptions of a key from its groups by description, by timestamp and falling length."""
+    one = F.struct(F.col("f.timestamp"), (-F.octet_length("description")).alias("size"), F.col("f.seq"), F.col("f.pos"), F.col("description").alias("v"))
+    return F.transform(F.array_sort(F.collect_list(F.when(F.col("description") != "", one))), lambda x: x["v"]).alias("new_descriptions")
+
+
+def _together(lists: str) -> Column:
+    return F.flatten(F.collect_list(lists)).alias(lists)
 
 
-def _descriptions(records: DataFrame, keys: list[str]) -> DataFrame:
-    """New descriptions of each key, the first of equal ones, by timestamp and falling length."""
-    first = records.where("description <> ''").groupBy(*keys, "description").agg(F.min(F.struct("seq", "pos", "timestamp")).alias("f"))
-    return first.groupBy(*keys).agg(_in_order("description", "f.timestamp", -F.octet_length("description"), "f.seq", "f.pos").alias("new_descriptions"))
+def _in_place(places: str, value: str) -> Column:
+    """Values of structs that begin with their place, in order, the first of equal ones."""
+    return F.array_distinct(F.transform(F.array_sort(places), lambda x: x[value]))
+
+
+def _most_frequent(kinds: Column) -> Column:
+    """The type of the largest sum of n, ties to the first; kinds: (seq, pos, n, entity_type)."""
+    types = F.array_distinct(F.transform(kinds, lambda k: k["entity_type"]))
+
+    def rated(t: Column) -> Column:
+        own = F.filter(kinds, lambda k: k["entity_type"] == t)
+        return F.struct((-F.aggregate(own, F.lit(0).cast("long"), lambda n, k: n + k["n"])).alias("n"), F.array_min(F.transform(own, lambda k: F.struct(k["seq"], k["pos"]))).alias("f"), t.alias("entity_type"))
+
+    return F.array_min(F.transform(types, rated))["entity_type"]
+
+
+def _new_weight(sources: str, stored: Column) -> Column:
+    """Sum of the weights of sources that aren't stored ones: both in one order by name, where a stored one comes first."""
+    at = lambda name, new, weight: F.struct(name.alias("name"), F.lit(new).alias("new"), weight.cast("double").alias("weight"))
+    both = F.array_sort(F.concat(F.transform(stored, lambda x: at(x, 0, F.lit(0.0))), F.transform(F.col(sources), lambda x: at(x["source_id"], 1, F.coalesce(x["weight"], F.lit(0.0))))))
+    start = F.struct(F.lit(None).cast("string").alias("known"), F.lit(0.0).alias("sum"))
+    step = lambda s, x: F.struct(F.when(x["new"] == 0, x["name"]).otherwise(s["known"]).alias("known"), F.when(x["name"] == s["known"], s["sum"]).otherwise(s["sum"] + x["weight"]).alias("sum"))
+    return F.when(F.size(stored) > 0, F.aggregate(both, start, step)["sum"]).otherwise(F.aggregate(F.col(sources), F.lit(0.0), lambda s, x: s + F.coalesce(x["weight"], F.lit(0.0))))
+
+
+def _split(joined: Column) -> Column:
+    return F.filter(F.split(F.coalesce(joined, F.lit("")), X.SEP), lambda x: x != "")
 
 
 def _combined(stored: Column, new: Column) -> Column:
@@ -68,13 +112,16 @@ def merge_entities(records: DataFrame, stored: DataFrame) -> DataFrame:
     to the first; sources are new ones in order, then stored; descriptions
     stored ones, then new by time and length; the time the first positive one.
     """
-    new = records.select("entity_name", "entity_type", "seq", "pos")
-    old = stored.join(records.select("entity_name").distinct(), "entity_name", "left_semi").select("entity_name", "entity_type", F.lit(1 << 62).alias("seq"), F.lit(0).alias("pos"))
-    counted = new.unionByName(old).where("entity_type IS NOT NULL").groupBy("entity_name", "entity_type").agg(F.count("*").alias("n"), F.min(F.struct("seq", "pos")).alias("f"))
-    kinds = counted.groupBy("entity_name").agg(F.min_by("entity_type", F.struct(-F.col("n"), "f")).alias("entity_type"))
-    lists = records.groupBy("entity_name").agg(_in_order("source_id", "seq", "pos").alias("sources"), _in_order("file_path", "seq", "pos").alias("paths"), F.min(F.when(F.col("timestamp") > 0, F.struct("seq", "pos", "timestamp"))).alias("t"))
-    was = stored.select("entity_name", F.col("description").alias("d0"), F.col("source_id").alias("s0"), F.col("file_path").alias("p0"), F.col("created_at").alias("c0"))
-    joined = lists.join(kinds, "entity_name").join(_descriptions(records, ["entity_name"]), "entity_name", "left").join(was, "entity_name", "left")
+    key, place = ["entity_name"], (F.col("f.seq"), F.col("f.pos"))
+    timed = F.min(F.when(F.col("timestamp") > 0, F.struct("seq", "pos", "timestamp"))).alias("t")
+    each = _by_description(records, key, timed, F.count("*").alias("n"), among=("entity_type", "file_path"))
+    each = each.groupBy(*key, "description").agg(F.min("f").alias("f"), F.min("t").alias("t"), _together("s"), F.collect_list(F.struct(*place, "file_path")).alias("p"), F.collect_list(F.when(F.col("entity_type").isNotNull(), F.struct(*place, "n", "entity_type"))).alias("kinds"))
+    lists = each.groupBy(*key).agg(F.min("t").alias("t"), _together("s"), _together("p"), _together("kinds"), _descriptions())
+    was = stored.select("entity_name", F.col("entity_type").alias("k0"), F.col("description").alias("d0"), F.col("source_id").alias("s0"), F.col("file_path").alias("p0"), F.col("created_at").alias("c0"))
+    joined = lists.withColumns({"sources": _in_place("s", "source_id"), "paths": _in_place("p", "file_path")}).join(was, "entity_name", "left")
+    kind = F.struct(F.lit(1 << 62).alias("seq"), F.lit(0).alias("pos"), F.lit(1).cast("long").alias("n"), F.col("k0").alias("entity_type"))
+    kinds = F.transform("kinds", lambda k: F.struct(k["seq"].cast("long").alias("seq"), k["pos"].cast("int").alias("pos"), k["n"], k["entity_type"]))
+    joined = joined.withColumn("kinds", F.when(F.col("k0").isNotNull(), F.concat(kinds, F.array(kind))).otherwise(kinds)).withColumn("entity_type", _most_frequent(F.col("kinds"))).where("entity_type IS NOT NULL")
     fragments = _combined(F.col("d0"), F.col("new_descriptions"))
     joined = joined.withColumn("fragments", fragments).withColumn("fragments", F.when(F.size("fragments") > 0, F.col("fragments")).otherwise(F.array(F.concat(F.lit("Entity "), "entity_name"))))
     paths = F.array_distinct(F.filter(F.concat(_split(F.col("p0")), "paths"), lambda x: x != ""))
@@ -92,10 +139,9 @@ def merge_relations(records: DataFrame, stored: DataFrame) -> DataFrame:
     """
     keys = ["src", "tgt"]
     was = stored.select(*keys, F.col("weight").alias("w0"), F.col("source_id").alias("s0"), F.col("description").alias("d0"), F.col("keywords").alias("k0"))
-    old = was.select(*keys, F.explode(_split(F.col("s0"))).alias("source_id")).withColumn("known", F.lit(True))
-    weighed = records.join(old, [*keys, "source_id"], "left").groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("weight"))), F.lit(0.0)).alias("w"), _in_order("source_id", "seq", "pos").alias("sources"), F.collect_set("keywords").alias("words"), F.min("seq").alias("order"))
-    joined = weighed.join(_descriptions(records, keys), keys, "left").join(was, keys, "left")
+    each = _by_description(records, keys, F.collect_set("keywords").alias("words"))
+    lists = each.groupBy(*keys).agg(_together("s"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"), F.min("f.seq").alias("order"), _descriptions())
+    joined = lists.withColumn("sources", _in_place("s", "source_id")).join(was, keys, "left").withColumn("w", _new_weight("s", _split(F.col("s0"))))
     sources = F.array_distinct(F.concat("sources", _split(F.col("s0"))))
     words = F.filter(F.transform(F.flatten(F.transform(F.concat("words", F.array(F.coalesce("k0", F.lit("")))), lambda k: F.split(k, ","))), lambda k: F.trim(k)), lambda k: k != "")
     return joined.select(*keys, F.greatest(F.coalesce("w0", F.lit(0.0)) + F.col("w"), F.size(sources).cast("double")).alias("weight"), F.array_join(F.array_sort(F.array_distinct(words)), ", ").alias("keywords"), F.array_join(_combined(F.col("d0"), F.col("new_descriptions")), X.SEP).alias("description"), F.array_join(sources, X.SEP).alias("source_id"), "order")
