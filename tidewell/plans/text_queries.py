@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.similarity import following
 from .base import TOKENS, TURNS, query, read, turns
 
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -163,9 +164,8 @@ def agg_char_ngrams(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.doc_id, round(len(list_intersect(a.s, b.s)) * 1.0 / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS similarity FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""")
 def set_shingle_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """Jaccard similarity of the 5-word shingles of neighbouring documents."""
-    s = read(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("w")).where(F.size("w") >= 5).select("doc_id", T.shingles(F.col("w")).alias("s"))
-    b = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("s2"))
-    return s.join(b, "doc_id").select("doc_id", F.round(T.jaccard(F.col("s"), F.col("s2")), 6).alias("similarity"))
+    found = following(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return found.select(F.col("id").alias("doc_id"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(rf"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS w FROM documents), b AS (SELECT doc_id, ('0x' || substr(md5(w), 15, 2))::BIGINT % 64 AS bucket, count(*) AS n FROM t GROUP BY ALL)
