@@ -52,6 +52,15 @@ def test_names_as_ids(spark):
     assert found(spark, rows, 1, 0.3, "string") == {"a": [("b", 1.0)], "b": [("a", 1.0)], "é": [("a", 1.0)]}
 
 
+def test_small_groups_stay_whole(spark, monkeypatch):
+    """Only a group with more rows than a part has is dealt out, and a row is sent once for each part."""
+    monkeypatch.setattr(retrieval, "_best_of_pair", lambda k, threshold: lambda key, table: table.select(["id"]).append_column("other", table["part"].cast("int64")).append_column("score", table["d"].cast("double")))
+    monkeypatch.setattr(retrieval, "PART_ROWS", (20, 50))
+    df = spark.createDataFrame([(g, 1000 * g + i, [1.0]) for g, n in ((1, 20), (2, 21), (3, 600)) for i in range(n)], "label int, id long, vector array<double>")
+    seen = [r["id"] for r in retrieval.neighbours(df, "label", 100, 0.3).collect()]
+    assert {i: seen.count(i) for i in (1000, 2000, 3000)} == {1000: 1, 2000: 2, 3000: 12}
+
+
 def test_large_group(spark):
     """The best of 400 million pairs of one group, with no join of pairs."""
     v = np.random.default_rng(5).normal(size=(20_000, 16)).astype(np.float32)

@@ -175,7 +175,7 @@ def neighbours(vectors: DataFrame, group: str, k: int, threshold: float) -> Data
     # no more rows than parts that are full
     large = rows.groupBy(group, "d").agg(F.count("*").alias("n")).where(F.col("n") > PART_ROWS[0])
     parts = F.greatest(F.least(F.ceil(F.col("n") / PART_ROWS[0]), F.lit(8)), F.ceil(F.col("n") / PART_ROWS[1]))
-    rows = rows.join(F.broadcast(large), [group, "d"], "left").withColumn("parts", F.coalesce(parts, F.lit(1)).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    rows = rows.join(F.broadcast(large), [group, "d"], "left").withColumn("parts", F.when(F.col("n").isNotNull(), parts).otherwise(1).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     met = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
     met = met.select(group, "d", F.least("part", "with").alias("a"), F.greatest("part", "with").alias("b"), "part", "id", "vector")
     kind = vectors.select("id", F.col("id").alias("other"), F.lit(0.0).alias("score")).schema
